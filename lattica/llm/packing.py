@@ -5,8 +5,8 @@ The linear program (cover each length's count with as few configurations as
 possible) is solved on the driver over the histogram of lengths, which has at
 most `capacity` entries at any data size: multiplicative weights price the
 lengths, a knapsack dynamic program finds the best configuration for these
-prices. The fractional solution is scaled so that no length is covered twice,
-rounded down, and what is left of the histogram is packed best fit, also by
+prices. The fractional solution, which covers no length more than once over,
+is rounded down, and what is left of the histogram is packed best fit, also by
 counts. Pieces then take their places by their rank among equal lengths.
 """
 
@@ -27,7 +27,8 @@ from .vocabulary import run_table
 CAPACITY = 2048
 #: Rows of one length are ranked in so many parts, so no window holds all rows of a common length.
 RANK_PARTS = 1024
-ROUNDS = 400
+#: Of the multiplicative weights: rounds at most, configurations in a round, fall of a price over a full cover, part covered in a step.
+ROUNDS, AT_ONCE, RATE, STEP = 200, 64, 6.0, 0.25
 
 
 def document_ids(texts: list[str], path: str, end: int) -> list[bytes]:
@@ -83,60 +84,61 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     return ids.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> list[int]:
-    """Lengths (index into price, 0 unused) of greatest total price that fit; a price of 0 or less is not taken."""
-    best = np.zeros(capacity + 1)
-    taken = np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(price > 0)
-    prices = price[lengths]
-    for c in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, c, "right"))
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity up to len(price) - 1, the greatest price of lengths that fit, and the length to take first (0: leave one unit)."""
+    best, first = np.zeros(len(price)), np.zeros(len(price), np.int64)
+    for c in range(1, len(price)):
+        value = best[c - 1 :: -1] + price[1 : c + 1] if c > 1 else best[:1] + price[1:2]
+        k = int(value.argmax())
         best[c] = best[c - 1]
-        if n:
-            value = best[c - lengths[:n]] + prices[:n]
-            k = int(value.argmax())
-            if value[k] > best[c]:
-                best[c], taken[c] = value[k], lengths[k]
+        if value[k] > best[c]:
+            best[c], first[c] = value[k], k + 1
+    return best, first
+
+
+def configuration(first: np.ndarray, capacity: int) -> list[int]:
+    """The lengths that knapsack() takes for a capacity."""
     out, c = [], capacity
     while c > 0:
-        if taken[c]:
-            out.append(int(taken[c]))
-            c -= int(taken[c])
-        else:
-            c -= 1
+        out += [int(first[c])] if first[c] else []
+        c -= int(first[c]) or 1
     return out
 
 
 def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], float]], float]:
     """A fractional cover of counts[length] by configurations, none covered more than once over, and a lower bound on any cover.
 
-    Multiplicative weights: a length's price falls as it gets covered; each
-    round adds as much of the best configuration as covers its scarcest length
-    by a fixed fraction.
+    Multiplicative weights: a length's price falls by a factor as it gets
+    covered. Each round solves one knapsack for the current prices and adds,
+    for the lengths with most left to cover, the best configuration that holds
+    each of them, as much of it as covers its scarcest length by a fixed part.
     """
     n = counts.astype(float)
     live = n > 0
     share = np.arange(capacity + 1) / capacity
-    covered = np.zeros(capacity + 1)
+    covered = np.where(live, 0.0, 1.0)
     found: dict[tuple[int, ...], float] = {}
     bound = float((n * share).sum())
-    rate = 6.0
     for _ in range(rounds):
-        behind = np.where(live & (covered < 1), np.exp(-rate * covered), 0.0)
-        price = share * behind
-        lengths = best_configuration(price, capacity)
-        if not lengths:
+        price = np.where(covered < 1, share * np.exp(-RATE * covered), 0.0)
+        if not price.any():
             break
-        uses = np.bincount(lengths, minlength=capacity + 1)
-        worth = float(price[lengths].sum())
-        bound = max(bound, float((n * price).sum()) / worth)  # prices over the dearest configuration's are dual feasible
-        used = uses > 0
-        room = (1 - covered[used]) * n[used] / uses[used]
-        step = float(min(room.min(), max(1.0, 0.25 * (n[used] / uses[used]).min())))
-        covered[used] += uses[used] * step / n[used]
-        covered[covered > 1 - 1e-9] = 1
-        key = tuple(sorted(lengths, reverse=True))
-        found[key] = found.get(key, 0.0) + step
+        best, first = knapsack(price)
+        # Prices over that of the dearest configuration are a solution of the dual program.
+        bound = max(bound, float((n * price).sum()) / float(best[capacity]))
+        for length in np.argsort(-n * price, kind="stable")[:AT_ONCE]:
+            if not price[length]:
+                break
+            lengths = [int(length), *configuration(first, capacity - int(length))]
+            kinds, uses = np.unique(lengths, return_counts=True)
+            each = n[kinds] / uses
+            step = min(float(((1 - covered[kinds]) * each).min()), max(1.0, STEP * float(each.min())))
+            if step <= 0:
+                continue  # another configuration of this round has used a length up
+            covered[kinds] += step / each
+            covered[covered > 1 - 1e-9] = 1
+            key = tuple(sorted(lengths, reverse=True))
+            found[key] = found.get(key, 0.0) + step
     return sorted(found.items()), bound
 
 
@@ -149,10 +151,12 @@ def pack_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...]
         left[capacity] = 0
     fractional, _ = solve(left, capacity)
     for lengths, amount in fractional:
+        if sum(lengths) < capacity:
+            continue  # rounding keeps full sequences only; best fit does better with the pieces of the others
         uses = np.bincount(lengths, minlength=capacity + 1)
         used = uses > 0
         copies = min(int(amount + 1e-6), int((left[used] // uses[used]).min()))
-        if copies:
+        if copies > 0:
             left -= uses * copies
             plan.append((lengths, copies))
     return plan + best_fit(left, capacity)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import mixing, packing, sharding, token_counts
 
 GPT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,12 +14,32 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), shards=24)
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), GPT_VOCABULARY, capacity=2048, end=0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), GPT_VOCABULARY)
 
 
+QUERIES = (
+    op2_ring_sharding,
+    op5_source_mix,
+    op7_best_fit_packing,
+    op10_token_counts,
+)
+
+
 def queries() -> dict:
-    return {"op10_token_counts": op10_token_counts}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
