@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, token_counts
+from . import covertree, matroska, mixing, packing, sharding, token_counts
 
 GPT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,10 +18,18 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=24)
 
 
+def op4_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50, scale=256)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.store_documents(_documents(spark, sf_dir)).drop("media")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), GPT_VOCABULARY, capacity=2048, end=0)
 
@@ -32,7 +40,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op2_ring_sharding,
+    op4_dual_tree_search,
     op5_source_mix,
+    op6_matroska,
     op7_best_fit_packing,
     op10_token_counts,
 )
