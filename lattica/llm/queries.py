@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, matroska, mixing, packing, sharding, token_counts
+from . import covertree, matroska, mixing, packing, quality, sharding, token_counts, toxicity
 
 GPT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,10 +14,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), _labels(spark, sf_dir), of=3, held=1)
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=24)
 
 
+def op3_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), _labels(spark, sf_dir), of=5, held=0)
+
+
 def op4_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50, scale=256)
 
@@ -39,7 +51,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_attention_quality,
     op2_ring_sharding,
+    op3_sentence_toxicity,
     op4_dual_tree_search,
     op5_source_mix,
     op6_matroska,

@@ -59,12 +59,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and for each row the index of its first word (n + 1 values).
 
+    space: a table of the 256 bytes that separate words, by default those of the pattern.
     Rows touch each other in raw, so a word also ends where its row ends.
     """
-    inside = ~SPACE[raw]
+    inside = ~space[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = bounds[(bounds > 0) & (bounds < len(raw))]
