@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, matroska, mixing, packing, quality, sharding, token_counts, toxicity
+from . import covertree, matroska, mixing, neardup, packing, pii, quality, sharding, token_counts, toxicity
 
 GPT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,6 +46,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), GPT_VOCABULARY, capacity=2048, end=0)
 
 
+def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), GPT_VOCABULARY)
 
@@ -58,6 +66,8 @@ QUERIES = (
     op5_source_mix,
     op6_matroska,
     op7_best_fit_packing,
+    op8_minhash_components,
+    op9_personal_data,
     op10_token_counts,
 )
 
