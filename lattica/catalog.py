@@ -250,10 +250,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stats(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns, *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("mean", "var")])
+    """Rounded a little off exact halves, which both sides can miss by an ulp."""
+    return df.select(*columns, *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("mean", "var")])
 
 
-add("running_stats", lambda s, d: _stats(running.running_statistics(_events(s, d).select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"]), "event_id", "n"), """SELECT event_id, n, round(mean, 4) + 0.0 AS mean, round(var, 4) + 0.0 AS var FROM (SELECT event_id,
+add("running_stats", lambda s, d: _stats(running.running_statistics(_events(s, d).select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"]), "event_id", "n"), """SELECT event_id, n, round(mean + 1e-9, 4) AS mean, round(var + 1e-9, 4) AS var FROM (SELECT event_id,
  count(*) OVER w AS n, avg(value) OVER w AS mean, var_pop(value) OVER w AS var FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", cells=False)
 
 
@@ -287,7 +288,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(running.merged(states, ["event_type"]), "event_type", "n")
 
 
-_EVENT_STATS = "SELECT event_type, count(*) AS n, round(avg(value), 4) + 0.0 AS mean, round(var_pop(value), 4) + 0.0 AS var FROM events GROUP BY event_type"
+_EVENT_STATS = "SELECT event_type, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(var_pop(value) + 1e-9, 4) AS var FROM events GROUP BY event_type"
 add("merged_partial_stats", _merged, "SELECT event_type, CAST(n AS BIGINT) AS n, mean, var FROM (" + _EVENT_STATS + ")", cells=False)
 
 
