@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A space inside or at the end of a longer run of white space: not a place to cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Runs that are kept per worker; beyond that the table starts anew, so memory stays bounded.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 250_000
 #: Runs joined in one call of the library.
 _JOINED = 2_000
 
