@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .store import cut
 
 SLAB = 4096
-LEAF = 64
+LEAF, QUERY_LEAF = 64, 8
 
 
 @dataclass
@@ -76,7 +76,7 @@ class Search:
         self.pairs = 0
 
     def run(self) -> None:
-        self.visit(CoverTree(self.queries).root, CoverTree(self.data).root)
+        self.visit(CoverTree(self.queries, QUERY_LEAF).root, CoverTree(self.data).root)
 
     def worst(self, query: Node) -> float:
         return float(self.score[query.points, -1].min())
@@ -86,7 +86,7 @@ class Search:
         centers = np.stack([n.center for n in nodes])
         radius = np.array([n.radius for n in nodes])
         own = math.sqrt(float(query.center @ query.center))
-        return (centers @ query.center + own * radius + np.sqrt(np.einsum("ij,ij->i", centers, centers)) * query.radius + query.radius * radius) * 1.0 + 1.0
+        return (centers @ query.center + own * radius + np.sqrt(np.einsum("ij,ij->i", centers, centers)) * query.radius + query.radius * radius) + 1.0
 
     def visit(self, query: Node, node: Node) -> None:
         if self.bounds(query, [node])[0] < self.worst(query):
@@ -123,13 +123,13 @@ class Search:
     def compare(self, query: Node, points: np.ndarray) -> None:
         q = query.points
         self.pairs += len(q) * len(points)
-        score = np.asarray(self.queries[q] @ self.data[points].T, np.float64 if self.queries.dtype.kind == "f" else object)
+        score = self.queries[q] @ self.data[points].T
         score = np.where(self.query_rows[q][:, None] == self.rows[points][None, :], -np.inf, score)
         use = (score >= self.score[q, -1][:, None]).any(0)
         if not use.any():
             return
         points, score = points[use], score[:, use]
-        both = np.concatenate([self.score[q], score.astype(np.float64)], 1)
+        both = np.concatenate([self.score[q], score], 1)
         index = np.concatenate([self.found[q], np.broadcast_to(points, score.shape)], 1)
         ids = np.where(index >= 0, self.ids[index], np.iinfo(np.int64).max)
         order = np.lexsort((ids, -both), axis=1)[:, : self.k]
@@ -177,7 +177,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"_query": pd.Series([], "int64"), "query_id": pd.Series([], "int64"), "vec_id": pd.Series([], "int64"), "score": pd.Series([], "int64")})
+            return pd.DataFrame(columns=["_query", "query_id", "vec_id", "score"], dtype="int64")
         data, queries = (np.frombuffer(b"".join(t["_v"]), "<f8").reshape(len(t), -1) for t in (left, right))
         ids = left["vec_id"].to_numpy()
         job = Search(queries, right["_row"].to_numpy(), data, left["_row"].to_numpy(), ids, k)
