@@ -147,7 +147,8 @@ def taken_blocks(counted: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     spread = laid.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
     spread = spread.select("_row", "_source", "_block", overlap.alias("_words"), (F.greatest(F.col("_block") * block, F.col("_start")) - F.col("_start")).alias("_from"))
-    return laid, spread.join(times, ["_source", "_block"])
+    # The planner can't know how many rows `drawn` makes of a range, and must not broadcast them.
+    return laid, spread.join(times.hint("merge"), ["_source", "_block"])
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **columns: str) -> DataFrame:

@@ -189,7 +189,7 @@ def test_mix_meets_targets(documents, edge, empty):
 
 
 def test_targets_share_the_excess():
-    assert mixing.targets([100, 100, 100]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)] or mixing.targets([100, 100, 100])[0] == 200.0
+    assert mixing.targets([100, 100, 100]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert sum(mixing.targets([10, 1000, 3, 77])) == pytest.approx(1.5 * 1090)
 
 
@@ -285,7 +285,8 @@ def test_packing_plan_holds_every_piece():
         held = sum(np.bincount(c, minlength=65) * n for c, n in plan)
         assert (held == counts).all() and all(sum(c) <= 64 for c, _ in plan)
         _, bound = packing.solve(np.where(np.arange(65) == 64, 0, counts), 64)
-        assert sum(n for _, n in plan) <= (bound + counts[64]) * 1.01 + 1
+        used, plain = sum(n for _, n in plan), sum(n for _, n in packing.best_fit(counts.copy(), 64))
+        assert bound + counts[64] - 1e-6 <= used <= plain * 1.01 + 1
         table = packing.places(plan)
         assert len(np.unique(table[:, :2], axis=0)) == len(table)
 
