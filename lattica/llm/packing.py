@@ -29,6 +29,8 @@ CAPACITY = 2048
 RANK_PARTS = 1024
 #: Of the multiplicative weights: rounds at most, configurations in a round, fall of a price over a full cover, part covered in a step.
 ROUNDS, AT_ONCE, RATE, STEP = 200, 64, 6.0, 0.25
+#: Parts of the fractional solution that are tried in rounding.
+KEEP = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
 
 
 def document_ids(texts: list[str], path: str, end: int) -> list[bytes]:
@@ -150,12 +152,20 @@ def pack_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...]
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     fractional, _ = solve(left, capacity)
+    # The part of the solution that rounding keeps is the one that needs fewest sequences.
+    tries = [rounded(fractional, left, capacity, part) for part in KEEP]
+    return plan + min(tries, key=lambda t: sum(n for _, n in t))
+
+
+def rounded(fractional: list[tuple[tuple[int, ...], float]], counts: np.ndarray, capacity: int, part: float) -> list[tuple[tuple[int, ...], int]]:
+    """`part` of the solution rounded down, the pieces left packed best fit."""
+    left, plan = counts.copy(), []
     for lengths, amount in fractional:
         if sum(lengths) < capacity:
             continue  # rounding keeps full sequences only; best fit does better with the pieces of the others
         uses = np.bincount(lengths, minlength=capacity + 1)
         used = uses > 0
-        copies = min(int(amount + 1e-6), int((left[used] // uses[used]).min()))
+        copies = min(int(amount * part + 1e-6), int((left[used] // uses[used]).min()))
         if copies > 0:
             left -= uses * copies
             plan.append((lengths, copies))
