@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut
+from .worker import task
 
 SLAB = 4096
 LEAF, QUERY_LEAF = 64, 8
@@ -155,7 +156,7 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Da
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["_row", "vec_id", "_dim", "_v"])
 
     columns = vectors.select(F.monotonically_increasing_id().alias("_row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    return columns.mapInArrow(turn, "_row long, vec_id long, _dim int, _v binary")
+    return columns.mapInArrow(task(turn), "_row long, vec_id long, _dim int, _v binary")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", slab: int = SLAB) -> DataFrame:

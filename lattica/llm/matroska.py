@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import task
+
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -336,7 +338,7 @@ def store_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    return columns.mapInPandas(turn, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return columns.mapInPandas(task(turn), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
 
 
 def packet_table(media: DataFrame, key: str = "doc_id", data: str = "media") -> DataFrame:
@@ -354,4 +356,4 @@ def packet_table(media: DataFrame, key: str = "doc_id", data: str = "media") ->
                     yield pd.DataFrame({key: k, "track": track, "packet": range(len(found)), "timestamp_ns": at, "duration_ns": duration, "keyframe": keyframe, "offset": offset, "size": size, "cluster": cluster})
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, data).mapInPandas(turn, f"{key} {kind}, track int, packet int, timestamp_ns long, duration_ns long, keyframe boolean, offset long, size long, cluster int")
+    return media.select(key, data).mapInPandas(task(turn), f"{key} {kind}, track int, packet int, timestamp_ns long, duration_ns long, keyframe boolean, offset long, size long, cluster int")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .store import cut
 from .text import chunks, utf8, words
+from .worker import task
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,7 +44,7 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
 
     key = F.col(row) if row else F.monotonically_increasing_id()
     columns = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return columns.mapInArrow(count, f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, source string, size long")
+    return columns.mapInArrow(task(count), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, source string, size long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -143,7 +144,7 @@ def taken_blocks(counted: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     ranges = draws(slots, seed)
     ranges = spark.createDataFrame(pd.DataFrame(ranges, columns=["s", "lo", "hi"])) if len(ranges) else spark.createDataFrame([], "s long, lo long, hi long")
     # Range by range over all tasks: a shard's draw is one row here and SHARD_SLOTS rows after it.
-    times = ranges.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(drawn, "_source int, _block long").groupBy("_source", "_block").agg(F.count("*").alias("_times"))
+    times = ranges.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(task(drawn), "_source int, _block long").groupBy("_source", "_block").agg(F.count("*").alias("_times"))
     spread = laid.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
     spread = spread.select("_row", "_source", "_block", overlap.alias("_words"), (F.greatest(F.col("_block") * block, F.col("_start")) - F.col("_start")).alias("_from"))
@@ -193,4 +194,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
                 out["n_chars"] = [len(t) for t in texts]
             yield out
 
-    return joined.mapInPandas(take, docs.schema)
+    return joined.mapInPandas(task(take), docs.schema)

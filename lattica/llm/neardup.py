@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .graph import components, forest
 from .store import cut
 from .text import LOWER, chunks, mix, span_hashes, utf8, words
+from .worker import task
 
 #: Hashes per band, probability of losing a pair at the threshold in banding, and in each posterior test.
 BAND_ROWS, MISS_BANDS, MISS_TEST = 5, 1e-6, 1e-5
@@ -119,7 +120,7 @@ def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["_row", "doc_id", "n_shingles", "_key", "_sig"])
 
     columns = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInArrow(turn, f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary")
+    return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary")
 
 
 def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -137,7 +138,7 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                     key = mix(key + sig[:, i : bands * rows : rows].astype(np.uint64) * np.uint64(2 * i + 3))
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(node))), pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], ["_band", "_bucket", "node"])
 
-    return classes.select("node", "_sig").mapInArrow(turn, "_band int, _bucket long, node long")
+    return classes.select("node", "_sig").mapInArrow(task(turn), "_band int, _bucket long, node long")
 
 
 def paired(groups: DataFrame, keys: list[str], size: str, member: str) -> DataFrame:
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             a, b = forest(node[a], node[b])
             yield pd.DataFrame({"a": a, "b": b})
 
-    likely = components(candidates.mapInPandas(survivors, "a long, b long"))
+    likely = components(candidates.mapInPandas(task(survivors), "a long, b long"))
 
     # Exact verification: full sets, from the texts of the survivors' representatives.
     alike = cut(likely.join(signed.select("node", "doc_id", "n_shingles", "_key"), "node"))
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             taken = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(sets, pa.binary())], ["node", "label", "_chunks", "_set"])
 
-    compared = paired(texts.mapInArrow(full_sets, "node long, label long, _chunks int, _set binary"), ["label"], "_chunks", "node")
+    compared = paired(texts.mapInArrow(task(full_sets), "node long, label long, _chunks int, _set binary"), ["label"], "_chunks", "node")
     own = ["label", "_lo", "_hi"]
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             a, b = forest(np.concatenate(left), np.concatenate(right))
             yield pd.DataFrame({"a": a, "b": b})
 
-    linked = components(compared.mapInPandas(verified, "a long, b long"))
+    linked = components(compared.mapInPandas(task(verified), "a long, b long"))
     labels = classes.join(linked, "node", "left").select("_key", F.coalesce("label", "node").alias("_label"))
     grouped = slim.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
     least = grouped.join(labels, "_key").groupBy("_label").agg(F.min("_least").alias("_least"))

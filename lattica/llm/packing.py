@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .store import cut
 from .text import chunks, utf8
 from .vocabulary import run_table
+from .worker import task
 
 CAPACITY = 2048
 #: Rows of one length are ranked in so many parts, so no window holds all rows of a common length.
@@ -64,7 +65,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for lo, hi in chunks(offsets, 1 << 22):
+            for lo, hi in chunks(offsets):
                 rows = batch.slice(lo, hi - lo)
                 took, out = [], []
                 for k, ids in enumerate(document_ids([t or "" for t in rows.column(1).to_pylist()], path, end)):
@@ -83,7 +84,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return ids.mapInArrow(task(pieces, holds=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset = row[:, 4] + at % row[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(put, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(task(put), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .learning import adam, sigmoid
 from .store import cut
+from .worker import task
 
 KINDS = ("email", "ip", "card", "phone")
 #: A candidate is added from this probability on.
@@ -174,7 +175,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [r[0] for r in rows], "loose": [r[1] for r in rows]})
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInPandas(turn, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return columns.mapInPandas(task(turn), f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def reliabilities(kinds: np.ndarray, vote: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +256,7 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
             yield pd.DataFrame(out)
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(turn, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInPandas(task(turn), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
@@ -270,7 +271,7 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFr
                 batch[size] = [n if t is None else len(t) for t, n in zip(batch[text], batch[size], strict=True)]
             yield batch
 
-    return docs.mapInPandas(turn, docs.schema)
+    return docs.mapInPandas(task(turn), docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .learning import adam, fold, sample, sigmoid
 from .text import CHUNK_BYTES, chunks, mix, span_hashes, utf8, words
+from .worker import task
 
 PASSAGE = 64
 HIDDEN, ATTENTION = 16, 8
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quality
     chosen = sample(labels, target, keep, doc_id, limit)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     kind = rows.schema["_id"].dataType.simpleString()
-    encoded = rows.select("_id", "_text", "_label").mapInArrow(encode, f"_id {kind}, _label int, _bag binary")
+    encoded = rows.select("_id", "_text", "_label").mapInArrow(task(encode), f"_id {kind}, _label int, _bag binary")
     # Bounded by `limit` documents of at most TRAIN_PASSAGES passages; ordered, so that reruns agree.
     found = sorted(((r["_id"], bytes(r["_bag"]), r["_label"]) for r in encoded.where(F.length("_bag") <= 4 * FEATURES * TRAIN_PASSAGES).collect()))[: 2 * limit]
     if not found:
@@ -204,7 +205,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, of: int = 3, held: int =
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, of) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    scored = columns.mapInArrow(turn, f"doc_id {kind}, held_out boolean, score double")
+    scored = columns.mapInArrow(task(turn), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -217,4 +218,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, of: int = 3, held: int = 1, ta
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), model) >= 0.5))
 
-    return docs.mapInArrow(turn, docs.schema)
+    return docs.mapInArrow(task(turn), docs.schema)

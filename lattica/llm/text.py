@@ -43,13 +43,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        with np.errstate(over="ignore"):
-            _powers = tuple(
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, _BASE_INVERSE)
-            )
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    size = max(n, CHUNK_BYTES + 4096)
+    with np.errstate(over="ignore"):
+        found = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, _BASE_INVERSE))
+    if size == CHUNK_BYTES + 4096:  # tables for a longer text aren't kept
+        _powers = found
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .text import chunks, utf8
 from .vocabulary import run_table
+from .worker import task
 
 SCHEMA = "n_bytes long, n_tokens long"
 
@@ -59,10 +60,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
             _, offsets = utf8(batch.column(1))
             sizes = offsets[1:] - offsets[:-1]
             totals: list[int] = []
-            for lo, hi in chunks(offsets, 1 << 22):
+            for lo, hi in chunks(offsets):
                 totals += text_counts([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()], path)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(count, f"doc_id {kind}, {SCHEMA}").withColumn("over_limit", F.col("n_tokens") > limit)
+    return ids.mapInArrow(task(count, holds=True), f"doc_id {kind}, {SCHEMA}").withColumn("over_limit", F.col("n_tokens") > limit)

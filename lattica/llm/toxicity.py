@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .learning import SAMPLE, adam, fold, sample, sigmoid
 from .text import CHUNK_BYTES, LOWER, chunks, span_hashes, utf8, words
+from .worker import task
 
 BITS = 20
 #: Bytes of a word's beginnings that are features besides the word.
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic",
     chosen = sample(labels, target, keep, doc_id, limit)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     kind = rows.schema["_id"].dataType.simpleString()
-    encoded = rows.select("_id", "_text", "_label").mapInArrow(encode, f"_id {kind}, _label int, _bag binary")
+    encoded = rows.select("_id", "_text", "_label").mapInArrow(task(encode), f"_id {kind}, _label int, _bag binary")
     # Bounded by `limit` documents of at most TRAIN_WORDS words; ordered, so that reruns agree.
     found = sorted(((r["_id"], bytes(r["_bag"]), r["_label"]) for r in encoded.where(F.length("_bag") <= 8 * 3 * TRAIN_WORDS).collect()))[: 2 * limit]
     if not found:
@@ -165,7 +166,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, of: int = 5, held: int =
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, of) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    scored = columns.mapInArrow(turn, f"doc_id {kind}, held_out boolean, score double")
+    scored = columns.mapInArrow(task(turn), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -190,4 +191,4 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5,
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(sentence), pa.array(p)], ["doc_id", "start", "end", "sentence", "score"])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInArrow(turn, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, start long, end long, sentence string, score double")
+    return columns.mapInArrow(task(turn), f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, start long, end long, sentence string, score double")

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from .worker import hold
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space inside or at the end of a longer run of white space: not a place to cut.
@@ -117,11 +119,6 @@ def _merger(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_tables: dict[tuple[str, bool], RunTable] = {}
-
-
 def run_table(path: str, keep_ids: bool) -> RunTable:
     """This worker's table for a vocabulary file."""
-    if (path, keep_ids) not in _tables:
-        _tables[path, keep_ids] = RunTable(path, keep_ids)
-    return _tables[path, keep_ids]
+    return hold((path, keep_ids), lambda: RunTable(path, keep_ids))
