@@ -13,22 +13,39 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: A node with over 1/HUBS of the edges is a hub; an edge has two ends, so there are at most 2 * HUBS of them.
+HUBS = 256
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """u, v, m of every edge (u, v), m being the least v of u; `edges` has at most 2 * total rows.
+
+    A hub's least v is broadcast (at most 2 * HUBS rows at any size), so its
+    edges stay where they are and never meet in one task.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > total / HUBS).select("u", F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    hot = marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    rest = marked.where("hub_m is null").select("u", "v")
+    return hot.union(rest.join(least.where(F.col("n") <= total / HUBS).select("u", "m"), "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the least node of its component) of every node of an edge; loops and repeated edges do no harm.
 
     Alternates large-star and small-star steps until the edges are stars; each
     round is written in the shared folder. Nothing but two numbers per round
-    reaches the driver.
+    and the bounded hubs reaches the driver.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     now, mark = (t := cut(pairs)), _mark(t)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        large = _with_least(both, mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # An edge to the least node stays; any other goes from its lower end to that node.
+        small = _with_least(large, mark[0]).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        now = cut(small.distinct())
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -473,3 +473,23 @@ def test_pipeline(spark, documents):
         if name == "personal_data":
             assert all(not pii.base_spans(r["text"]) for r in after.collect())
         docs = spark.createDataFrame(after.collect(), after.schema)
+
+
+@pytest.mark.parametrize("hub", [0, 900])
+def test_components_match_union_find(spark, hub):
+    """Random edges, loops and repeats; with a node that meets a large part of all edges."""
+    rng = np.random.default_rng(hub)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 2000, (1000, 2))] + [(int(x), 7) for x in rng.integers(0, 2000, hub)]
+    edges += [*edges[:20], (5, 5), (9999, 9999)]
+    above = {x: x for e in edges for x in e}
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        above[high] = low
+    found = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: top(x) for a, b in edges if a != b for x in (a, b)}
