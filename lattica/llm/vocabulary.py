@@ -64,11 +64,22 @@ class RunTable:
         found = (x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)) if texts else ()
         return [np.array(ids, "<u4").tobytes() for ids in found] if self.keep_ids else [len(ids) for ids in found]
 
+    def plain(self, text: str) -> bool:
+        """No special string and no white space at which a cut would be wrong."""
+        return not (_UNSAFE.search(text) or any(s in text for s in self.special))
+
+    def direct(self, texts: list[str], end: int) -> list[bytes]:
+        """The ids of whole texts and then `end`, by the merge loop; texts that aren't plain by the library."""
+        tail = end.to_bytes(4, "little")
+        out = [self.merger.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() + tail if self.plain(t) else b"" for t in texts]
+        rest = [i for i, ids in enumerate(out) if not ids]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids + tail
+        return out
+
     def runs(self, text: str) -> list[str] | None:
         """The text's runs without their leading space (the first one has none), or None: encode it whole."""
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
+        return text.split(" ") if self.plain(text) else None
 
     def learn(self, runs: set[str]) -> None:
         """Makes the table hold all of `runs`."""
