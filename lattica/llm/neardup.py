@@ -104,7 +104,7 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str) -> DataFrame:
+def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str, row: str | None = None) -> DataFrame:
     """_row, doc_id, n_shingles, _key, _sig of every row; _sig is null without shingles."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,8 @@ def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str)
                     sigs.append(signature(s, family).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["_row", "doc_id", "n_shingles", "_key", "_sig"])
 
-    columns = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    key = F.col(row) if row else F.monotonically_increasing_id()
+    columns = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary")
 
 
@@ -247,8 +248,8 @@ def similar(sets: list[np.ndarray], percent: int, across: bool, chunk: np.ndarra
     return np.nonzero(np.triu(link, 1))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; and _row, where `row` names a column of distinct integers.
 
     Documents with 100 * intersection >= percent * union of their sets of
     distinct `width`-word shingles are linked; component_id is the smallest
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     threshold = percent / 100
     bands = band_count(threshold)
     tests = least_matches(threshold, bands * BAND_ROWS)
-    rows = cut(described(docs, width, bands * BAND_ROWS, text, doc_id))
+    rows = cut(described(docs, width, bands * BAND_ROWS, text, doc_id, row))
     slim = rows.select("_row", "doc_id", "n_shingles", "_key")
     # A class's rows are counted in part before they meet, so copies cost nothing.
     classes = cut(slim.where("n_shingles > 0").groupBy("_key").agg(F.min("_row").alias("node")))
@@ -323,13 +324,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     grouped = slim.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
     least = grouped.join(labels, "_key").groupBy("_label").agg(F.min("_least").alias("_least"))
     of_key = labels.join(least, "_label").select("_key", "_least")
-    full = slim.where("n_shingles > 0").join(of_key, "_key").select("doc_id", "n_shingles", F.col("_least").alias("component_id"))
-    empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    carried = ["_row"] if row else []
+    full = slim.where("n_shingles > 0").join(of_key, "_key").select(*carried, "doc_id", "n_shingles", F.col("_least").alias("component_id"))
+    empty = slim.where("n_shingles = 0").select(*carried, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component, that with the smallest doc_id; rows that repeat a kept doc_id all stay."""
-    found = near_duplicates(docs, width, percent, text, doc_id)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows that near_duplicates keeps: of each component those with its smallest doc_id, whatever other texts have that id."""
+    rows = cut(docs.withColumn("_near_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, width, percent, text, doc_id, row="_near_row")
+    gone = cut(found.where("not kept").select("_row"))
+    return rows.join(gone, rows["_near_row"] == gone["_row"], "left_anti").drop("_near_row")
