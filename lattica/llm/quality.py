@@ -53,15 +53,18 @@ def passages(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     row_of = np.repeat(np.arange(rows), n_words)
     index = np.arange(len(starts)) - first[:-1][row_of]
     of_word = base[:-1][row_of] + index // PASSAGE
-    # A passage's bytes run up to the next passage's first word.
+    # A passage's bytes run up to the next passage's first word or the row's end, and a row's first passage has those before it.
     heads = np.flatnonzero(index % PASSAGE == 0)
-    lengths = np.diff(np.append(starts[heads], len(raw)))
+    of_head = row_of[heads]
+    begins = np.where(index[heads] == 0, bounds[:-1][of_head], starts[heads])
+    lengths = np.minimum(np.append(starts[heads[1:]], len(raw)), bounds[1:][of_head]) - begins
     of_byte = np.repeat(of_word[heads], lengths)
-    body = _CLASS[raw[starts[0] :]]
+    body = _CLASS[raw[np.repeat(n_words > 0, np.diff(bounds))]]
     counts = np.bincount(of_byte * CLASSES + body, minlength=total * CLASSES).reshape(total, CLASSES)
     out[:, :CLASSES] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
 
-    n = np.maximum(1, np.bincount(of_word, minlength=total))
+    words_in = np.bincount(of_word, minlength=total)
+    n = np.maximum(1, words_in)
     upper = np.concatenate([[0], np.cumsum(_CLASS[raw] == UPPER)])
     n_upper = upper[ends] - upper[starts]
     size = ends - starts
@@ -76,8 +79,11 @@ def passages(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     with np.errstate(over="ignore"):
         triples = hashes.copy()
         triples[2:] += mix(hashes[1:-1] + np.uint64(1)) + mix(hashes[:-2] + np.uint64(2))
-    out[:, CLASSES + 5] = share(_seen(triples, row_of) & (index >= 2))
-    out[:, CLASSES + 6] = np.log1p(n) / 4
+    third = index >= 2  # else the words before are another row's
+    repeated = np.zeros(len(triples), bool)
+    repeated[third] = _seen(triples[third], row_of[third])
+    out[:, CLASSES + 5] = share(repeated)
+    out[:, CLASSES + 6] = np.log1p(words_in) / 4
     return out, count
 
 
@@ -91,6 +97,15 @@ def _seen(hashes: np.ndarray, row_of: np.ndarray) -> np.ndarray:
     return out
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in one order: BLAS may round a row differently beside other rows."""
+    wide = w.reshape(len(w), -1)
+    out = np.zeros((len(x), wide.shape[1]))
+    for column, weights in zip(x.T, wide, strict=True):
+        out += column[:, None] * weights
+    return out.reshape(len(x), *w.shape[1:])
+
+
 class AttentionModel:
     """Parameters of projection, gated attention and scorer; arrays are float64."""
 
@@ -110,15 +125,16 @@ class AttentionModel:
 
     def forward(self, x: np.ndarray, count: np.ndarray, flat: np.ndarray | None = None) -> tuple:
         project, shift, v, u, w, c, b = self.parts(self.flat if flat is None else flat)
+        times = product if flat is None else np.matmul  # in fitting, no row has to repeat exactly
         heads = np.concatenate([[0], np.cumsum(count)[:-1]])
         bag = np.repeat(np.arange(len(count)), count)
-        h = np.tanh(x @ project + shift)
-        t, g = np.tanh(h @ v), sigmoid(h @ u)
-        logit = (t * g) @ w
+        h = np.tanh(times(x, project) + shift)
+        t, g = np.tanh(times(h, v)), sigmoid(times(h, u))
+        logit = times(t * g, w)
         e = np.exp(logit - np.maximum.reduceat(logit, heads)[bag])
         a = e / np.add.reduceat(e, heads)[bag]
         z = np.add.reduceat(a[:, None] * h, heads, axis=0)
-        return h, t, g, a, z, z @ c + b[0], heads, bag
+        return h, t, g, a, z, times(z, c) + b[0], heads, bag
 
     def score(self, features: np.ndarray, count: np.ndarray) -> np.ndarray:
         return sigmoid(self.forward((features - self.mean) / self.scale, count)[5])

@@ -1,6 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
-from lattica.llm import neardup
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from lattica.llm import neardup, quality
 
 
 def test_near_duplicates_go_row_by_row(spark):
@@ -12,3 +17,26 @@ def test_near_duplicates_go_row_by_row(spark):
     assert found.columns == docs.columns
     wanted = [(3, b), (5, a), (None, c), (7, d + " z"), (11, ""), (None, "")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in found.collect()))) == sorted(map(repr, wanted))
+
+
+def test_passages_and_scores_do_not_hang_on_neighbours():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["ab", "C", "d1", "e.", "the"]) for _ in range(rng.randrange(1, 300))) for _ in range(50)]
+    texts += ["", " " * 1000, "  x y x y\n", " \n a b c", "a b", "c a b c"]
+    g = np.random.default_rng(0)
+    n = sum(int(np.prod(s)) for s in quality.AttentionModel.SHAPES)
+    model = quality.AttentionModel(g.standard_normal(n), g.random(quality.FEATURES), g.random(quality.FEATURES) + 0.1)
+
+    def encoded(part):
+        raw, offsets = quality.utf8(pa.array(part))
+        features, count = quality.passages(raw, offsets)
+        bags = [x.tobytes() for x in np.split(features, np.cumsum(count)[:-1])]
+        return list(zip(bags, quality.scores(pa.array(part), model).tolist(), strict=True))
+
+    alone = {t: encoded([t])[0] for t in texts}
+    for size in (2, 9, 60, 200):
+        part = [rng.choice(texts) for _ in range(size)]
+        assert encoded(part) == [alone[t] for t in part]
+    # All bytes of a row are its own, the white space before its first word too.
+    assert alone["  x y x y\n"][0] != encoded(["x y x y"])[0][0]
+    assert not np.frombuffer(alone[" " * 1000][0], np.float32).any()
