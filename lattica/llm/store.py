@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

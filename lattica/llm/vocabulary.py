@@ -16,6 +16,7 @@ import json
 import re
 
 import numpy as np
+import regex
 
 from .worker import hold
 
@@ -23,6 +24,9 @@ from .worker import hold
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space inside or at the end of a longer run of white space: not a place to cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: Characters that every engine of the pattern takes alike, whatever its version of Unicode.
+_ALIKE = re.compile("[\\x00-\\u0557\\u2000-\\u2064\\u3041-\\u3096\\u30a1-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
+_PIECES = regex.compile(PATTERN)
 #: Runs that are kept per worker; beyond that the table starts anew, so memory stays bounded.
 TABLE_ENTRIES = 250_000
 #: Runs joined in one call of the library.
@@ -47,6 +51,27 @@ class RunTable:
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.starts_run[i] = token.startswith("Ġ")
         self.merger = _merger(path)
+        # Where all special strings stand for themselves alone, texts are cut at them, the longest first.
+        added = self.library.get_added_tokens_decoder().values()
+        self.bare = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """The text's pre-tokens and special strings; the whole text where the vocabulary isn't one whose cuts are known."""
+        special = bool(self.at_special and self.at_special.search(text))
+        if not self.merger or (special and not self.bare):
+            return [text] if text else []
+        if special:
+            return [p for part in self.at_special.split(text) for p in ([part] if part in self.special else self.pre_tokens(part))]
+        if _ALIKE.fullmatch(text):
+            return _PIECES.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def sizes(self, tokens: list[str]) -> list[int]:
+        """The number of ids of each pre-token or special string."""
+        merged = [bool(self.merger and _ALIKE.fullmatch(t) and not (self.at_special and self.at_special.search(t))) for t in tokens]
+        rest = iter(self.whole([t for t, m in zip(tokens, merged, strict=True) if not m]))
+        return [len(self.merger.encode_ordinary(t)) if m else next(rest) for t, m in zip(tokens, merged, strict=True)]
 
     def ids(self, text: str) -> np.ndarray:
         """Of runs, which hold no special string."""

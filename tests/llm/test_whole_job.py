@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from lattica.llm import neardup, quality
+from tokenizers import Tokenizer
+
+from lattica.llm import neardup, quality, queries, token_counts
 
 
 def test_near_duplicates_go_row_by_row(spark):
@@ -40,3 +42,16 @@ def test_passages_and_scores_do_not_hang_on_neighbours():
     # All bytes of a row are its own, the white space before its first word too.
     assert alone["  x y x y\n"][0] != encoded(["x y x y"])[0][0]
     assert not np.frombuffer(alone[" " * 1000][0], np.float32).any()
+
+
+def test_each_distinct_pre_token_is_counted_once(spark):
+    """Through the query, with all that the pre-tokenizer cuts oddly, and with what its parts hand on."""
+    library, rng = Tokenizer.from_file(queries.GPT_VOCABULARY), random.Random(3)
+    parts = [" ", "  ", "   ", "\n", "\t", "a", "é", "1", "22", "!", "\x1c", "\x85", "　", "'s", "don't", "<|endoftext|>", "<|endo", "。", "日本", "\r\n", "🙂", "\u0558", "\u058b", "\U0001fae9", "\u088f"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(1500)] + [(None, None), (None, "a b"), (3, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(repr, ((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, queries.GPT_VOCABULARY).collect())))
+    assert found == sorted(repr((i, len(library.encode(t or "", add_special_tokens=False).ids))) for i, t in rows)
+    tokens, ends, at, times = token_counts.places(["a a  b<|endoftext|>", "", "a b"], queries.GPT_VOCABULARY)
+    assert tokens.to_pylist() == [" ", " a", " b", "<|endoftext|>", "a"]
+    assert (ends.tolist(), at.tolist(), times.tolist()) == ([5, 5, 7], [0, 1, 2, 3, 4, 2, 4], [1] * 7)
