@@ -304,7 +304,8 @@ def feature(movie: Movie, payload: bytes) -> str:
     x = np.frombuffer(payload, np.uint8)
     up = x >= 128
     crossings = int(np.count_nonzero(up[1:] != up[:-1]))
-    indexed = sum((time, position) in {(t, p) for p, t in movie.clusters} for time, _, position in movie.cues) if len(movie.cues) < 1000 else len(movie.cues)
+    clusters = {(t, p) for p, t in movie.clusters}
+    indexed = sum((time, position) in clusters for time, _, position in movie.cues)
     return (
         f"codec={movie.tracks[1]['codec']};packets={len(movie.packets)};clusters={len(movie.clusters)};cues={indexed};"
         f"ms={movie.duration:.0f};last_ns={movie.packets[-1][1]};sum={int(x.sum(dtype=np.int64))};peak={int(x.max())};crossings={crossings}"

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from tokenizers import Tokenizer
 
-from lattica.llm import neardup, quality, queries, token_counts
+from lattica.llm import matroska, neardup, quality, queries, token_counts
 
 
 def test_near_duplicates_go_row_by_row(spark):
@@ -55,3 +55,11 @@ def test_each_distinct_pre_token_is_counted_once(spark):
     tokens, ends, at, times = token_counts.places(["a a  b<|endoftext|>", "", "a b"], queries.GPT_VOCABULARY)
     assert tokens.to_pylist() == [" ", " a", " b", "<|endoftext|>", "a"]
     assert (ends.tolist(), at.tolist(), times.tolist()) == ([5, 5, 7], [0, 1, 2, 3, 4, 2, 4], [1] * 7)
+
+
+def test_every_cue_is_checked_whatever_their_number():
+    payload = bytes(576 * 20)
+    movie = matroska.parse(matroska.mux(payload))
+    real = len(movie.cues)
+    movie.cues += [(-1, 1, 0)] * 1000
+    assert real and f";cues={real};" in matroska.feature(movie, payload)
