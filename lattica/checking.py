@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frame import V, TensorFrame
@@ -32,7 +32,7 @@ def choose_tolerance(specific: Iterable[tuple[str | None, str | None, Tolerance]
 
 
 def mismatches(actual: TensorFrame, expected: TensorFrame, tolerance: Tolerance = Tolerance()) -> DataFrame:
-    """One row: cells, mismatched, ppm, largest differences and where; cells that only one side has, and NaN on one side, are mismatches."""
+    """One row: cells, mismatched, ppm, largest differences and where (abs_at, rel_at: the first such cell's keys and axes); cells that only one side has, and NaN on one side, are mismatches."""
     on = [*expected.keys, *expected.dims]
     both = actual.df.select(*on, F.col(V).cast("double").alias("_a"), F.lit(True).alias("_in_a")).join(
         expected.df.select(*on, F.col(V).cast("double").alias("_e"), F.lit(True).alias("_in_e")), on, "full_outer"
@@ -42,12 +42,17 @@ def mismatches(actual: TensorFrame, expected: TensorFrame, tolerance: Tolerance
     beyond = off > tolerance.atol + tolerance.rtol * F.abs("_e")
     wrong = one_sided | (F.coalesce(beyond, F.lit(False)) & ~F.isnan("_e"))
     relative = off / (F.abs("_e") + 1e-6)
-    flat = F.struct(off.alias("o"), *[(-F.col(d)).alias(d) for d in expected.dims])
-    out = both.select(*on, wrong.alias("_wrong"), off.alias("_off"), relative.alias("_rel"), flat.alias("_order"))
+    out = both.select(*on, wrong.alias("_wrong"), off.alias("_off"), relative.alias("_rel"))
     seen = F.when(~F.isnan("_off"), F.col("_off"))
+    where = F.struct(*on)
+
+    def first_largest(c: str) -> Column:
+        return F.min_by(where, F.when(~F.isnan(c), F.struct((-F.col(c)).alias("_down"), *on)))
+
     return out.agg(
         F.count("*").alias("cells"), F.count_if("_wrong").alias("mismatched"), (F.count_if("_wrong") / F.count("*") * 1e6).alias("ppm"),
         F.max(seen).alias("max_abs"), F.max(F.when(~F.isnan("_rel"), F.col("_rel"))).alias("max_rel"),
+        first_largest("_off").alias("abs_at"), first_largest("_rel").alias("rel_at"),
     )
 
 
@@ -85,7 +90,8 @@ def check_outputs(actual: Mapping[str, TensorFrame], expected: Mapping[str, Tens
             continue
         row = mismatches(a, e, tolerance).first()
         if row["mismatched"] and row["ppm"] > tolerance.ppm:
-            report.add("failed", name, f"{row['mismatched']} of {row['cells']} cells differ, by up to {row['max_abs']}")
+            at = f" at {row['abs_at'].asDict()}" if row["abs_at"] else ""
+            report.add("failed", name, f"{row['mismatched']} of {row['cells']} cells differ, by up to {row['max_abs']}{at}")
         elif row["mismatched"]:
             report.add("warning", name, f"{row['ppm']:.3g} ppm differ, which is tolerated")
         else:
