@@ -273,6 +273,19 @@ def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("frozen_stats", _frozen, f"SELECT {AT}, round((value - m) / (s + 1e-6), 6) + 0.0 AS value FROM cells, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM cells WHERE vec_id % 2 = 0) WHERE vec_id % 2 = 1")
 
 
+def _frozen_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all samples, applied to all samples of a second, scaled member."""
+    t = embeddings(spark, sf_dir)
+    calculator = M.StatsCalculator([M.dataset_mean("raw"), M.dataset_std("raw")])
+    calculator.update({"raw": t})
+    frozen = M.StatsCalculator(calculator.measures, calculator.finalize())
+    scaled = {"raw": t * 2}
+    return rounded(P.ZeroMeanUnitVariance("raw", "raw")(scaled, P.UpdateStats(frozen)(scaled))["raw"])
+
+
+add("frozen_stats_scaled", _frozen_scaled, f"SELECT {AT}, round((2 * value - m) / (s + 1e-6), 6) + 0.0 AS value FROM cells, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM cells)")
+
+
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = M.Stat([M.StatTable(spark.createDataFrame([(0.25, 0.5)], "_m double, _s double"), (), (), {M.dataset_mean("raw"): "_m", M.dataset_std("raw"): "_s"})])
     pipeline = PredictionPipeline(FunctionModel(lambda x: x), {}, [P.ZeroMeanUnitVariance("raw", "raw")], fixed=given)

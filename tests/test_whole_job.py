@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lattica import checking
+from lattica import catalog, checking
 from lattica.frame import TensorFrame
 
 
@@ -18,3 +18,9 @@ def test_largest_differences_are_located(spark):
     assert (row["abs_at"].asDict(), row["rel_at"].asDict()) == ({"sample_id": "s", "y": 0, "x": 1}, {"sample_id": "s", "y": 1, "x": 0})
     report = checking.check_outputs({"a": cells(spark, actual)}, {"a": cells(spark, expected)})
     assert "at {'sample_id': 's', 'y': 0, 'x': 1}" in report.entries[0][2]
+
+
+def test_frozen_statistics_reach_every_sample(spark):
+    sf = "/root/testdata/sf0.001"
+    wanted = catalog.embeddings(spark, sf).df.count()
+    assert catalog.queries()["frozen_stats_scaled"](spark, sf).count() == wanted
