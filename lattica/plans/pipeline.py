@@ -251,7 +251,14 @@ def create_pipeline(model: Model, outputs: Mapping[str, Output], inputs: Mapping
     return PredictionPipeline(model, outputs, chain(inputs or {}), chain(post or {}), **options)
 
 
-def predict(pipeline: PredictionPipeline, members: Members, *, block_shape: Mapping[str, int] | None = None, halo: Mapping[str, Any] | None = None, save_to: str | None = None, **skip: bool) -> Members:
+def parametrised_shape(sizes: Mapping[str, int | tuple[int, int]], n: int = 10) -> dict[str, int]:
+    """The block shape for n of axes that are given by their (least size, step), or by a fixed size."""
+    return {a: s if isinstance(s, int) else s[0] + n * s[1] for a, s in sizes.items()}
+
+
+def predict(pipeline: PredictionPipeline, members: Members, *, block_shape: Mapping[str, int] | None = None, block_sizes: Mapping[str, int | tuple[int, int]] | None = None, block_parameter: int = 10, halo: Mapping[str, Any] | None = None, save_to: str | None = None, **skip: bool) -> Members:
+    """By blocks of a fixed shape, else of the shape that parametrised sizes have for block_parameter, else whole."""
+    block_shape = block_shape or (parametrised_shape(block_sizes, block_parameter) if block_sizes else None)
     found = pipeline.predict_blockwise(members, block_shape, halo, **skip) if block_shape else pipeline.predict(members, **skip)
     if save_to:
         for m, tensor in found.items():
