@@ -1,10 +1,11 @@
 """Personal data by weak supervision.
 
 Candidates are the base patterns' spans and looser ones (numbers without a
-country code, obfuscated addresses, failed checks). Regex, gazetteer, context
-and surroundings labelers vote on each; expectation-maximisation over the
-counts of vote patterns, which cover all documents and are few at any size,
-estimates every labeler's reliability without labels; the posteriors train a
+country code, obfuscated addresses, failed checks). Regex, checksum, gazetteer,
+context and surroundings labelers vote on each or abstain; none of them knows
+whether a candidate is a base span. Expectation-maximisation over the counts of
+vote patterns, which cover all documents and are few at any size, estimates
+every labeler's reliability per kind without labels; the posteriors train a
 logistic span classifier over votes and shape. Base spans always stay, and
 the classifier adds candidates that it is sure of.
 """
@@ -13,11 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: A candidate is added from this probability on.
 SURE = 0.9
 EM_ROUNDS = 50
+#: Votes that a labeler is taken to have cast before the first candidate, right and wrong ones: it is better than chance.
+PRIOR_RIGHT, PRIOR_WRONG = 7.0, 3.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -62,6 +67,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(part: str) -> bool:
+    """Digits, however many of them are leading zeros."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from each @, so the time is linear."""
     out, free, at = [], 0, text.find("@")
@@ -83,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, index of the kind) of the base patterns' matches that pass their checks, by start and kind."""
     found = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        found += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(map(at_most_255, m.group().split(".")))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -103,35 +114,51 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         for m in _CARD.finditer(text):
             if 13 <= sum(map(str.isdigit, m.group())) <= 19:
                 found.append((m.start(), m.end(), 2))
-    out, taken = [], sorted((a, b) for a, b, _ in base)
+    # A span overlaps a base one if, of those that start before its end, the furthest end is beyond its start.
+    starts = [a for a, _, _ in base]
+    furthest = list(accumulate((b for _, b, _ in base), max, initial=0))
+    out, free = [], 0
     for a, b, kind in sorted(found):
-        if all(b <= x or a >= y for x, y in taken):
+        if a >= free and furthest[bisect_left(starts, b)] <= a:
             out.append((a, b, kind))
-            taken.append((a, b))
+            free = b
     return out
 
 
-def votes(text: str, start: int, end: int, kind: int, strict: bool) -> tuple[int, ...]:
-    """1 (personal), -1 (not) or 0 (abstains) of each labeler: strict regex, shape, gazetteer, context, surroundings."""
+_WELL_FORMED = (
+    re.compile(r"[A-Za-z0-9](?:[._%+-]?[A-Za-z0-9])*(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9](?:-?[A-Za-z0-9])*(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9](?:-?[A-Za-z0-9])*)+"),
+    re.compile(r"(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
+    re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}"),
+    re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}"),
+)
+
+
+def votes(text: str, start: int, end: int, kind: int) -> tuple[int, ...]:
+    """1 (personal), -1 (not) or 0 (abstains) of each labeler: regex, checksum, gazetteer, context, surroundings."""
     span, name = text[start:end], KINDS[kind]
     digits = "".join(c for c in span if "0" <= c <= "9")
+    # Longer spans are no address or number that anyone uses.
+    form = 1 if len(span) <= 254 and _WELL_FORMED[kind].fullmatch(span) else -1
     if kind == 0:
-        shape = 1 if len(span) <= 254 and not span.startswith(".") and ".." not in span else -1
-        known = 1 if re.split(r"[^A-Za-z0-9]+", span.rstrip(")]"))[-1].lower() in TOP_DOMAINS else -1
+        check = 0
+        known = 1 if re.split(r"[^A-Za-z0-9]+", span[-64:].rstrip(")]"))[-1].lower() in TOP_DOMAINS else -1
     elif kind == 1:
-        parts = span.split(".")
-        shape = 1 if all(p == "0" or not p.startswith("0") for p in parts) else -1
-        known = -1 if parts[0] in ("0", "255") or len(set(map(int, parts))) == 1 else 0
+        parts = [p.lstrip("0") or "0" for p in span.split(".")]
+        check = 1 if all(len(p) <= 3 for p in parts) else -1
+        known = -1 if parts[0] in ("0", "255") or len(set(parts)) == 1 else 1
     elif kind == 2:
-        shape = 1 if re.fullmatch(r"[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}", span) else -1
-        known = 1 if digits.startswith(CARD_PREFIXES) and luhn(digits) else -1
+        check = 1 if luhn(digits) else -1
+        known = 1 if digits.startswith(CARD_PREFIXES) else -1
     else:
-        shape = 1 if re.fullmatch(r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}", span) else -1
-        known = -1 if len(set(digits)) < 3 else (1 if span.startswith("+") and digits[0] != "0" else 0)
+        # A national number starts, and its exchange starts, with a digit from 2 on; with a country code it has 10 to 15 digits.
+        own = digits[-10:]
+        national = len(own) == 10 and own[0] in "23456789" and own[3] in "23456789" and own[1:3] != "11"
+        check = 1 if national or (span[0] == "+" and len(digits) != 11) else -1
+        known = (1 if digits[:1] != "0" else -1) if span[0] == "+" else 0
     around = set(_WORD.findall(text[max(0, start - 40) : start].lower()))
     context = 1 if around & CONTEXT[name] else (-1 if around & AGAINST else 0)
-    inside = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return (1 if strict else -1, shape, known, context, -1 if inside else 0)
+    inside = (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "-_")) or (end < len(text) and (text[end].isalnum() or text[end] in "-_"))
+    return (form, check, known, context, -1 if inside else 1)
 
 
 def shape_features(span: str) -> list[float]:
@@ -141,7 +168,7 @@ def shape_features(span: str) -> list[float]:
 
 @dataclass
 class SpanModel:
-    """Weights over (kind, votes, shape, 1)."""
+    """Weights over (votes, abstentions, shape, 1), for each kind its own."""
 
     weights: np.ndarray | None
 
@@ -150,42 +177,44 @@ class SpanModel:
 
 
 def features(kind: int, vote: tuple[int, ...], shape: list[float]) -> list[float]:
-    return [float(kind == i) for i in range(len(KINDS))] + [float(v) for v in vote] + [float(v != 0) for v in vote] + list(shape) + [1.0]
+    own = [float(v) for v in vote] + [float(v == 0) for v in vote] + list(shape) + [1.0]
+    return [x * (kind == i) for i in range(len(KINDS)) for x in own]
 
 
-FOUND = "base array<struct<start:long,end:long,kind:int,votes:string,shape:array<double>>>, loose array<struct<start:long,end:long,kind:int,votes:string,shape:array<double>>>"
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("votes", pa.string()), ("shape", pa.list_(pa.float64()))])
+_SPANS = "array<struct<start:long,end:long,kind:int,votes:string,shape:array<double>>>"
 
 
 def described(text: str) -> tuple[list[dict], list[dict]]:
     base = base_spans(text)
-    rows = []
-    for spans, strict in ((base, True), (loose_spans(text, base), False)):
-        rows.append([
-            {"start": a, "end": b, "kind": k, "votes": ",".join(map(str, votes(text, a, b, k, strict))), "shape": shape_features(text[a:b])} for a, b, k in spans
-        ])
+    rows = [
+        [{"start": a, "end": b, "kind": k, "votes": ",".join(map(str, votes(text, a, b, k))), "shape": shape_features(text[a:b])} for a, b, k in spans]
+        for spans in (base, loose_spans(text, base))
+    ]
     return rows[0], rows[1]
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the base and loose candidates of every document, with their votes."""
+def find(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_id") -> DataFrame:
+    """doc_id and the base and loose candidates of every document, with their votes; doc_id None: without an id."""
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [described(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [r[0] for r in rows], "loose": [r[1] for r in rows]})
+            rows = [described(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(SPAN)) for i in (0, 1))], ["doc_id", "base", "loose"])
 
-    columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInPandas(task(turn), f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    key = F.lit(None).cast("int") if doc_id is None else F.col(doc_id)
+    columns = docs.select(key.alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return columns.mapInArrow(task(turn), f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, base {_SPANS}, loose {_SPANS}")
 
 
 def reliabilities(kinds: np.ndarray, vote: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of each vote pattern, P(vote | class) as [kind, labeler, class, vote + 1]) by expectation-maximisation.
+    """(posterior of each vote pattern, P(labeler votes 1 | class, it votes) as [kind, labeler, class]) by expectation-maximisation.
 
-    Labelers are independent given the class, per kind; the start leans to the
-    majority of votes, and counts are smoothed.
+    Labelers are independent given the class, per kind; one that abstains says
+    nothing. The start leans to the majority of votes.
     """
     posterior = sigmoid(vote.sum(1) * 1.0)
-    table = np.zeros((len(KINDS), vote.shape[1], 2, 3))
+    table = np.zeros((len(KINDS), vote.shape[1], 2))
     for _ in range(EM_ROUNDS):
         log = np.zeros((len(vote), 2))
         for kind in range(len(KINDS)):
@@ -193,10 +222,10 @@ def reliabilities(kinds: np.ndarray, vote: np.ndarray, count: np.ndarray) -> tup
             weight = np.stack([count * (1 - posterior), count * posterior], 1)[own]
             log[own] = np.log((weight.sum(0) + 1) / (weight.sum() + 2))
             for j in range(vote.shape[1]):
-                for value in (-1, 0, 1):
-                    table[kind, j, :, value + 1] = weight[vote[own, j] == value].sum(0) + 0.5
-                table[kind, j] /= table[kind, j].sum(1, keepdims=True)
-                log[own] += np.log(table[kind, j][:, vote[own, j] + 1]).T
+                yes, no = (weight[vote[own, j] == v].sum(0) for v in (1, -1))
+                right = np.array([PRIOR_WRONG, PRIOR_RIGHT])
+                table[kind, j] = (yes + right) / (yes + no + PRIOR_RIGHT + PRIOR_WRONG)
+                log[own] += np.log(np.where(vote[own, j, None] == 1, table[kind, j], 1 - table[kind, j])) * (vote[own, j, None] != 0)
         posterior = sigmoid(log[:, 1] - log[:, 0])
     return posterior, table
 
@@ -205,7 +234,8 @@ def fit(found: DataFrame) -> SpanModel:
     """The span classifier of a written table of find(); without candidates it adds nothing.
 
     Only counts per vote pattern reach the driver: at most 4 * 3 ** 5 rows,
-    each with its mean shape.
+    each with its mean shape. Every pattern weighs by the square root of its
+    count, so the common ones don't drown the rare.
     """
     every = found.select(F.explode(F.concat("base", "loose")).alias("c")).select("c.*")
     means = [F.avg(F.col("shape")[i]).alias(f"s{i}") for i in range(6)]
@@ -217,7 +247,7 @@ def fit(found: DataFrame) -> SpanModel:
     count = np.array([float(r["n"]) for r in rows])
     posterior, _ = reliabilities(kinds, vote, count)
     x = np.array([features(k, tuple(v), [r[f"s{i}"] for i in range(6)]) for k, v, r in zip(kinds, vote, rows, strict=True)])
-    weight = count / count.sum()
+    weight = np.sqrt(count) / np.sqrt(count).sum()
     weights = adam(lambda w: x.T @ (weight * (sigmoid(x @ w) - posterior)) + 1e-4 * w, np.zeros(x.shape[1]), 500, 0.1)
     return SpanModel(weights)
 
@@ -245,33 +275,40 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     found = cut(find(docs, text, doc_id))
     model = fit(found)
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"doc_id": batch["doc_id"]}
-            base = [[(c["start"], c["end"], c["kind"]) for c in b] for b in batch["base"]]
-            for i, kind in enumerate(KINDS):
-                out[f"n_{kind}"] = [sum(k == i for *_, k in spans) for spans in base]
-            out["base_sha256"] = [hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base]
-            out["spans"] = [joined(decide(b, x, model)) for b, x in zip(batch["base"], batch["loose"], strict=True)]
-            yield pd.DataFrame(out)
-
+            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            base = [[(c["start"], c["end"], c["kind"]) for c in b] for b, _ in both]
+            counts = [pa.array([sum(k == i for *_, k in spans) for spans in base], pa.int64()) for i in range(len(KINDS))]
+            digests = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base], pa.string())
+            every = pa.array([joined(decide(b, x, model)) for b, x in both], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, every], names)
+
+    names = ["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"]
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(task(turn), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(task(turn), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans are replaced as one, named by the first. Null texts stay null."""
-    model = fit(cut(find(docs, text, docs.columns[0])))
+    """docs with every span replaced by its kind in brackets; overlapping spans are replaced as one, named by the first.
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.copy()
-            batch[text] = [None if t is None else replaced(t, decide(*described(t), model)) for t in batch[text]]
-            if size in batch:
-                batch[size] = [n if t is None else len(t) for t, n in zip(batch[text], batch[size], strict=True)]
-            yield batch
+    Null texts stay null, with their size; where docs has the column `size`,
+    other rows get the new text's code points there. Other columns, null ids
+    and repeated rows stay as they are; an empty table stays empty.
+    """
+    model = fit(cut(find(docs, text, None)))
+    at, sized = docs.columns.index(text), docs.columns.index(size) if size in docs.columns else None
 
-    return docs.mapInPandas(task(turn), docs.schema)
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = [None if t is None else replaced(t, decide(*described(t), model)) for t in batch.column(at).to_pylist()]
+            columns[at] = pa.array(texts, columns[at].type)
+            if sized is not None:
+                columns[sized] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[sized].to_pylist(), strict=True)], columns[sized].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(task(turn), docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
