@@ -10,7 +10,6 @@ frequency; no id list of a document is materialised.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,30 +54,6 @@ def places(texts: list[str], path: str) -> tuple[pa.Array, np.ndarray, np.ndarra
     return found.dictionary.take(order), np.searchsorted(pair, (np.arange(len(texts)) + 1) * size), pair % size, times
 
 
-def text_counts(texts: list[str], path: str) -> list[int]:
-    """The number of ids of each text, as the library gives them without added special tokens."""
-    table = run_table(path, keep_ids=False)
-    whole, heads, distinct, cut = [], [], set(), []
-    for i, text in enumerate(texts):
-        runs = table.runs(text)
-        if runs is None:
-            whole.append(i)
-            continue
-        heads.append(runs.pop(0))
-        found = Counter(runs)
-        distinct.update(found)
-        cut.append((i, found))
-    table.learn(distinct)
-    count = table.table.__getitem__
-    first = dict(zip(names := list(set(heads)), table.kept(names), strict=True))
-    out = [0] * len(texts)
-    for head, (i, found) in zip(heads, cut, strict=True):
-        out[i] = first[head] + sum(map(int.__mul__, map(count, found), found.values()))
-    for i, n in zip(whole, table.whole([texts[i] for i in whole]), strict=True):
-        out[i] = n
-    return out
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 

@@ -27,6 +27,9 @@ _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Characters that every engine of the pattern takes alike, whatever its version of Unicode.
 _ALIKE = re.compile("[\\x00-\\u0557\\u2000-\\u2064\\u3041-\\u3096\\u30a1-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
 _PIECES = regex.compile(PATTERN)
+#: The merge loop's pattern engine gives up on longer runs of white space: they go through the library, with the same ids.
+_LONG_SPACE = re.compile(r"\s{10000}")
+_LONG_TOKEN = 10_000
 #: Runs that are kept per worker; beyond that the table starts anew, so memory stays bounded.
 TABLE_ENTRIES = 250_000
 #: Runs joined in one call of the library.
@@ -69,7 +72,7 @@ class RunTable:
 
     def sizes(self, tokens: list[str]) -> list[int]:
         """The number of ids of each pre-token or special string."""
-        merged = [bool(self.merger and _ALIKE.fullmatch(t) and not (self.at_special and self.at_special.search(t))) for t in tokens]
+        merged = [bool(self.merger and len(t) <= _LONG_TOKEN and _ALIKE.fullmatch(t) and not (self.at_special and self.at_special.search(t))) for t in tokens]
         rest = iter(self.whole([t for t, m in zip(tokens, merged, strict=True) if not m]))
         return [len(self.merger.encode_ordinary(t)) if m else next(rest) for t, m in zip(tokens, merged, strict=True)]
 
@@ -90,8 +93,8 @@ class RunTable:
         return [np.array(ids, "<u4").tobytes() for ids in found] if self.keep_ids else [len(ids) for ids in found]
 
     def plain(self, text: str) -> bool:
-        """No special string and no white space at which a cut would be wrong."""
-        return not (_UNSAFE.search(text) or any(s in text for s in self.special))
+        """No special string, no white space at which a cut would be wrong and no very long run of it."""
+        return not (_UNSAFE.search(text) or _LONG_SPACE.search(text) or any(s in text for s in self.special))
 
     def direct(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of whole texts and then `end`, by the merge loop; texts that aren't plain by the library."""
