@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import chunks, utf8
 from .worker import task
 
 # Element ids of the Matroska specification.
@@ -321,25 +322,27 @@ def store_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     results, and an empty table an empty result. Other columns are not read.
     """
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Few rows at a time: the media column is as large as the texts.
-            for at in range(0, len(batch), 256):
+            _, offsets = utf8(batch.column(1))
+            # Few bytes at a time: the media column is as large as the texts.
+            for lo, hi in chunks(offsets):
                 rows = []
-                part = batch.iloc[at : at + 256]
-                for value in part["text"]:
+                for value in batch.column(1).slice(lo, hi - lo).to_pylist():
                     n, payload = padded(value)
                     media = mux(payload)
                     movie = parse(media)
                     back = b"".join([media[p[4] : p[4] + p[5]] for p in movie.packets])
                     rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(movie, back), media))
-                out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
+                columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", *names])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    return columns.mapInPandas(task(turn), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return columns.mapInArrow(task(turn), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
 
 
 def packet_table(media: DataFrame, key: str = "doc_id", data: str = "media") -> DataFrame:
@@ -348,13 +351,19 @@ def packet_table(media: DataFrame, key: str = "doc_id", data: str = "media") ->
     A null file has no packets; bytes that aren't well-formed fail the query.
     """
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["track", "packet", "timestamp_ns", "duration_ns", "keyframe", "offset", "size", "cluster"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, raw in zip(batch[key], batch[data], strict=True):
-                found = parse(bytes(raw)).packets if raw is not None else []
+            for i in range(len(batch)):
+                raw = batch.column(1)[i].as_py()
+                found = parse(raw).packets if raw is not None else []
                 if found:
                     track, at, duration, keyframe, offset, size, cluster = zip(*found, strict=True)
-                    yield pd.DataFrame({key: k, "track": track, "packet": range(len(found)), "timestamp_ns": at, "duration_ns": duration, "keyframe": keyframe, "offset": offset, "size": size, "cluster": cluster})
+                    columns = (track, range(len(found)), at, duration, keyframe, offset, size, cluster)
+                    own = batch.column(0).take(pa.array([i] * len(found)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(list(c), k) for c, k in zip(columns, types, strict=True))], [key, *names])
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, data).mapInPandas(task(turn), f"{key} {kind}, track int, packet int, timestamp_ns long, duration_ns long, keyframe boolean, offset long, size long, cluster int")
+    return media.select(key, data).mapInArrow(task(turn), f"`{key}` {kind}, track int, packet int, timestamp_ns long, duration_ns long, keyframe boolean, offset long, size long, cluster int")

@@ -16,13 +16,21 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until df has no such column (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
