@@ -31,6 +31,17 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return hot.union(rest.join(least.where(F.col("n") <= total / HUBS).select("u", "m"), "u").select("u", "v", "m"))
 
 
+def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left joined to right by `key`, unique in right, whose `weight` is the number of left's rows that have it, of `total`; weight goes.
+
+    Keys of over total / HUBS rows, at most HUBS of them, are broadcast: their rows never meet in one task.
+    """
+    hot = F.col(weight) > total / HUBS
+    hubs = right.where(hot).drop(weight)
+    rest = left.join(F.broadcast(hubs.select(key)), key, "left_anti").join(right.where(~hot).drop(weight), key)
+    return left.join(F.broadcast(hubs), key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the least node of its component) of every node of an edge; loops and repeated edges do no harm.
 

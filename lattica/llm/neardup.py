@@ -6,18 +6,23 @@
    each band bucket, pairs are compared batch of hashes by batch, and go as
    soon as the posterior probability that they are similar enough falls below
    the miss probability. A bucket yields a spanning forest of its survivors,
-   never all pairs; buckets beyond CHUNK classes are worked on by pairs of
-   chunks, so no task holds an unbounded group.
+   never all pairs.
 3. Survivors' connected components are small and pure. Within each, full
-   shingle sets are compared exactly (again by pairs of chunks), and the
-   verified links yield the final components.
+   shingle sets are compared exactly, and the verified links yield the final
+   components.
+
+A bucket or component of more than a chunk of classes is worked on chunk by
+chunk. What chunks have found is joined through representatives (of each part
+found, the class with most links), and only classes that are then outside their
+group's largest part are compared with the whole group, so no task holds an
+unbounded group and a group whose parts meet costs its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, forest
-from .store import cut
+from .graph import components, forest, keyed_join
+from .store import cut, fresh
 from .text import LOWER, chunks, mix, span_hashes, utf8, words
 from .worker import task
 
@@ -105,7 +110,7 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str, row: str | None = None) -> DataFrame:
-    """_row, doc_id, n_shingles, _key, _sig of every row; _sig is null without shingles."""
+    """_row, doc_id, n_shingles, _key, _sig, _text (a hash of the text) of every row; _sig is null without shingles."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = hash_family(hashes)
@@ -117,11 +122,12 @@ def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str,
                     n.append(len(s))
                     keys.append(set_key(s))
                     sigs.append(signature(s, family).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["_row", "doc_id", "n_shingles", "_key", "_sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(3)], ["_row", "doc_id", "n_shingles", "_key", "_sig", "_text"])
 
     key = F.col(row) if row else F.monotonically_increasing_id()
-    columns = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary")
+    words = F.col(text).cast("string")
+    columns = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), words.alias("text"), F.xxhash64(words).alias("_text"))
+    return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _text long")
 
 
 def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -142,15 +148,6 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("node", "_sig").mapInArrow(task(turn), "_band int, _bucket long, node long")
 
 
-def paired(groups: DataFrame, keys: list[str], size: str, member: str) -> DataFrame:
-    """Adds _chunk, _lo, _hi: each row once for every pair of chunks that its own chunk is in; `size`: the group's number of chunks."""
-    chunk = F.pmod(F.xxhash64(member), F.col(size)).cast("int")
-    spread = groups.withColumn("_chunk", F.when(F.col(size) > 1, chunk).otherwise(F.lit(0)))
-    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col(size) - 1).cast("int"))))
-    spread = spread.withColumn("_lo", F.least("_chunk", "_other")).withColumn("_hi", F.greatest("_chunk", "_other"))
-    return spread.drop("_other", size).repartition(*keys, "_lo", "_hi").sortWithinPartitions(*keys, "_lo", "_hi")
-
-
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The sorted rows again, in frames that end where a group ends."""
     rest: list[pd.DataFrame] = []
@@ -178,9 +175,15 @@ def group_numbers(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def close_pairs(group: np.ndarray, chunk: np.ndarray, across: np.ndarray, band: np.ndarray, sig: np.ndarray, rows: int, tests: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group that pass all posterior tests and share no earlier band; across: only pairs of unlike chunks."""
-    left, right = [], []
+Allowed = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def close_pairs(frame: pd.DataFrame, group: np.ndarray, allowed: Allowed, rows: int, tests: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group that are allowed and pass all posterior tests; in a bucket of one chunk, if it is the first that they share."""
+    sig = np.frombuffer(b"".join(frame["_sig"]), np.uint32).reshape(len(frame), -1)
+    band, alone = frame["_band"].to_numpy(), (frame["_chunks"] == 1).to_numpy()
+    bands = sig.shape[1] // rows
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     index = np.arange(len(group))
     step, held_a, held_b, held = 1, [], [], 0
 
@@ -192,16 +195,15 @@ def close_pairs(group: np.ndarray, chunk: np.ndarray, across: np.ndarray, band:
             a, b, matches, done = a[keep], b[keep], matches[keep], n
             if not len(a):
                 return
-        bands = sig.shape[1] // rows
         same = (sig[a, : bands * rows] == sig[b, : bands * rows]).reshape(len(a), bands, rows).all(2)
-        first = same.argmax(1) == band[a]
-        left.append(a[first])
-        right.append(b[first])
+        use = ~alone[a] | (same.argmax(1) == band[a])
+        left.append(a[use])
+        right.append(b[use])
 
     while len(index):
         index = index[index + step < len(group)]
         index = index[group[index] == group[index + step]]
-        use = index[~across[index] | (chunk[index] != chunk[index + step])]
+        use = index[allowed(index, index + step)]
         held_a.append(use)
         held_b.append(use + step)
         held += len(use)
@@ -211,17 +213,28 @@ def close_pairs(group: np.ndarray, chunk: np.ndarray, across: np.ndarray, band:
                 test(a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE])
             held_a, held_b, held = [], [], 0
         step += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def similar(sets: list[np.ndarray], percent: int, across: bool, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(frame: pd.DataFrame, group: np.ndarray, allowed: Allowed, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group that are allowed and have 100 * intersection >= percent * union, by exact counts."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    bounds = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        a, b = similar([np.frombuffer(s, np.uint64) for s in frame["_set"].iloc[lo:hi]], percent)
+        use = allowed(lo + a, lo + b)
+        left.append(lo + a[use])
+        right.append(lo + b[use])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with 100 * intersection >= percent * union, by exact counts."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) <= 8:
         found = []
         for i, j in combinations(range(len(sets)), 2):
-            if (across and chunk[i] == chunk[j]) or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+            if 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
@@ -242,10 +255,64 @@ def similar(sets: list[np.ndarray], percent: int, across: bool, chunk: np.ndarra
         block = np.zeros((len(sets), width), np.float32)
         block[owner[a:b], code[a:b] - lo] = 1
         both += block @ block.T
-    link = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    if across:
-        link &= chunk[:, None] != chunk[None, :]
-    return np.nonzero(np.triu(link, 1))
+    return np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+
+
+def compare(rows: DataFrame, keys: list[str], pairs: Callable[[pd.DataFrame, np.ndarray, Allowed], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """a, b: edges that connect what `pairs` finds in each group of `keys`, and a row (c, c) for the class c with most links of each part.
+
+    Where rows has _minor and _part, only a minor row and a row that isn't are compared, if of unlike parts.
+    """
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, keys):
+            frame = frame.reset_index(drop=True)
+            allowed: Allowed = lambda a, b: np.ones(len(a), bool)
+            if "_minor" in frame:
+                minor, part = frame["_minor"].to_numpy(), frame["_part"].to_numpy()
+                allowed = lambda a, b: (minor[a] != minor[b]) & (part[a] != part[b])
+            node = frame["node"].to_numpy()
+            a, b = pairs(frame, group_numbers(frame, keys), allowed)
+            linked, degree = np.unique(np.concatenate([node[a], node[b]]), return_counts=True)
+            a, b = forest(node[a], node[b])
+            # Forest edges are (node, least node of its part).
+            label = linked.copy()
+            label[np.searchsorted(linked, a)] = b
+            order = np.lexsort((linked, -degree, label))
+            best = linked[order[np.diff(label[order], prepend=-1) > 0]] if len(linked) else linked
+            yield pd.DataFrame({"a": np.concatenate([a, best]), "b": np.concatenate([b, best])})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task(turn), "a long, b long")
+
+
+def connected(rows: DataFrame, group: str, several: bool, pairs: Callable) -> DataFrame:
+    """node, label of what `pairs` connects among the rows of each group.
+
+    rows: `group`, node, _chunks, _each and what `pairs` reads; a group goes by
+    _chunks chunks of about _each rows. several: whether any group has more than one.
+    """
+    dealt = lambda n: F.pmod(F.xxhash64("node", group), n).cast("int")
+    keys = [group, "_lo"]
+    edges = compare(rows.withColumn("_lo", dealt(F.col("_chunks"))), keys, pairs)
+    if not several:
+        return components(edges)
+    edges = cut(edges)
+    large = rows.where("_chunks > 1")
+    # Representatives meet in chunks of their own.
+    best = large.join(edges.where("a = b").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    count = best.groupBy(group).agg(F.ceil(F.count("*") / F.max("_each")).cast("int").alias("_meet"))
+    edges = cut(edges.union(compare(best.join(count, group).withColumn("_lo", dealt(F.col("_meet"))), keys, pairs)))
+    # What is outside its group's largest part is compared with all of the group.
+    parts = cut(large.select(group, "node", "_each").join(components(edges).withColumnRenamed("label", "_part"), "node", "left").withColumn("_part", F.coalesce("_part", "node")))
+    sizes = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.max("_each").alias("_each"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("_n", "_part")).alias("_top"), F.sum("_n").alias("_all"), F.max("_each").alias("_each"))
+    largest = largest.select(group, F.col("_top._part").alias("_most"), F.ceil((F.col("_all") - F.col("_top._n")) / F.col("_each")).cast("int").alias("_minors")).where("_minors > 0")
+    sided = large.join(parts.drop("_each"), [group, "node"]).join(largest, group)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    whole = sided.withColumn("_minor", F.lit(False)).withColumn("_lo", dealt(F.col("_chunks"))).withColumn("_hi", every(F.col("_minors")))
+    minor = sided.where("_part <> _most").withColumn("_minor", F.lit(True)).withColumn("_hi", dealt(F.col("_minors"))).withColumn("_lo", every(F.col("_chunks")))
+    rest = compare(whole.unionByName(minor).drop("_most", "_minors"), [*keys, "_hi"], pairs)
+    return components(edges.union(rest))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -266,73 +333,61 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     rows = cut(described(docs, width, bands * BAND_ROWS, text, doc_id, row))
     slim = rows.select("_row", "doc_id", "n_shingles", "_key")
     # A class's rows are counted in part before they meet, so copies cost nothing.
-    classes = cut(slim.where("n_shingles > 0").groupBy("_key").agg(F.min("_row").alias("node")))
-    signed = cut(rows.select("_row", "doc_id", "n_shingles", "_key", "_sig").join(classes.select("node"), F.col("_row") == F.col("node"), "left_semi").withColumnRenamed("_row", "node"))
+    classes = cut(slim.where("n_shingles > 0").groupBy("_key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    signed = cut(rows.select("_row", "doc_id", "n_shingles", "_key", "_sig", "_text").join(classes.select("node"), F.col("_row") == F.col("node"), "left_semi").withColumnRenamed("_row", "node"))
 
     buckets = cut(banded(signed, bands, BAND_ROWS))
-    shared = buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"))
-    keys = ["_bucket", "_lo", "_hi"]
-    candidates = paired(buckets.join(shared, "_bucket").join(signed.select("node", "_sig"), "node"), ["_bucket"], "_chunks", "node")
-
-    def survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, keys):
-            sig = np.frombuffer(b"".join(frame["_sig"]), np.uint32).reshape(len(frame), -1)
-            across = (frame["_lo"] != frame["_hi"]).to_numpy()
-            a, b = close_pairs(group_numbers(frame, keys), frame["_chunk"].to_numpy(), across, frame["_band"].to_numpy(), sig, BAND_ROWS, tests)
-            node = frame["node"].to_numpy()
-            a, b = forest(node[a], node[b])
-            yield pd.DataFrame({"a": a, "b": b})
-
-    likely = components(candidates.mapInPandas(task(survivors), "a long, b long"))
+    shared = cut(buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.lit(CHUNK).alias("_each")))
+    candidates = buckets.join(shared, "_bucket").join(signed.select("node", "_sig"), "node")
+    likely = connected(candidates, "_bucket", not shared.where("_chunks > 1").isEmpty(), lambda f, g, ok: close_pairs(f, g, ok, BAND_ROWS, tests))
 
     # Exact verification: full sets, from the texts of the survivors' representatives.
-    alike = cut(likely.join(signed.select("node", "doc_id", "n_shingles", "_key"), "node"))
-    sizes = alike.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / EXACT_CHUNK), F.ceil(F.sum("n_shingles") / EXACT_SHINGLES)).cast("int").alias("_chunks"))
-    wanted = alike.join(sizes, "label").select("node", "label", "_chunks", "_key", F.col("doc_id").alias("_id"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(wanted["_id"])).select("node", "label", "_chunks", "_key", "text")
+    alike = cut(likely.join(signed.select("node", "doc_id", "n_shingles", "_key", "_text"), "node"))
+    parts = F.greatest(F.ceil(F.count("*") / EXACT_CHUNK), F.ceil(F.sum("n_shingles") / EXACT_SHINGLES)).cast("int")
+    sizes = cut(alike.groupBy("label").agg(parts.alias("_chunks"), F.ceil(F.count("*") / parts).cast("int").alias("_each")))
+    wanted = alike.join(sizes, "label").select("node", "label", "_chunks", "_each", "_key", F.col("doc_id").alias("_id"), F.col("_text").alias("_wanted"))
+    key = F.col(row) if row else F.lit(None).cast("long")
+    texts = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # By row, or by id and a hash of the text: many rows may have one id or none.
+    met = texts["_row"] == wanted["node"] if row else texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
+    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat an id and its text meet here
         for batch in batches:
-            raw, offsets = utf8(batch.column(4))
+            raw, offsets = utf8(batch.column(5))
+            node = batch.column(0).to_pylist()
             keep, sets = [], []
             for lo, hi in chunks(offsets):
                 for i, s in enumerate(shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width), lo):
-                    if set_key(s) == batch.column(3)[i].as_py():  # else another row with this id
+                    if node[i] not in seen and set_key(s) == batch.column(4)[i].as_py():  # else another text with this hash
+                        seen.add(node[i])
                         keep.append(i)
                         sets.append(s.tobytes())
             taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(sets, pa.binary())], ["node", "label", "_chunks", "_set"])
-
-    compared = paired(texts.mapInArrow(task(full_sets), "node long, label long, _chunks int, _set binary"), ["label"], "_chunks", "node")
-    own = ["label", "_lo", "_hi"]
-
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, own):
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, part in frame.groupby(group_numbers(frame, own), sort=False):
-                part = part.drop_duplicates("node")
-                node, across = part["node"].to_numpy(), bool(part["_lo"].iloc[0] != part["_hi"].iloc[0])
-                a, b = similar([np.frombuffer(s, np.uint64) for s in part["_set"]], percent, across, part["_chunk"].to_numpy())
-                left.append(node[a])
-                right.append(node[b])
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            yield pd.DataFrame({"a": a, "b": b})
-
-    linked = components(compared.mapInPandas(task(verified), "a long, b long"))
-    labels = classes.join(linked, "node", "left").select("_key", F.coalesce("label", "node").alias("_label"))
-    grouped = slim.where("n_shingles > 0").groupBy("_key").agg(F.min("doc_id").alias("_least"))
-    least = grouped.join(labels, "_key").groupBy("_label").agg(F.min("_least").alias("_least"))
-    of_key = labels.join(least, "_label").select("_key", "_least")
+            yield pa.RecordBatch.from_arrays([*taken.columns[:4], pa.array(sets, pa.binary())], ["node", "label", "_chunks", "_each", "_set"])
+
+    several = not sizes.where("_chunks > 1").isEmpty()
+    full = texts.mapInArrow(task(full_sets), "node long, label long, _chunks int, _each int, _set binary")
+    linked = connected(cut(full) if several else full, "label", several, lambda f, g, ok: similar_pairs(f, g, ok, percent))
+    labels = cut(classes.join(linked, "node", "left").select("_key", "n", F.coalesce("label", "node").alias("_label"), "least"))
+    least = labels.groupBy("_label").agg(F.min("least").alias("_least"), F.count("*").alias("_n"))
+    of_key = keyed_join(labels.select("_key", "_label", F.col("n").alias("_n")), least, "_label", "_n", labels.count()).select("_key", "_least", "_n")
     carried = ["_row"] if row else []
-    full = slim.where("n_shingles > 0").join(of_key, "_key").select(*carried, "doc_id", "n_shingles", F.col("_least").alias("component_id"))
+    some = slim.where("n_shingles > 0")
+    full = keyed_join(some, cut(of_key), "_key", "_n", rows.count()).select(*carried, "doc_id", "n_shingles", F.col("_least").alias("component_id"))
     empty = slim.where("n_shingles = 0").select(*carried, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that near_duplicates keeps: of each component those with its smallest doc_id, whatever other texts have that id."""
-    rows = cut(docs.withColumn("_near_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, width, percent, text, doc_id, row="_near_row")
-    gone = cut(found.where("not kept").select("_row"))
-    return rows.join(gone, rows["_near_row"] == gone["_row"], "left_anti").drop("_near_row")
+    """The rows that near_duplicates keeps, with all their columns: of each component those with its smallest doc_id, whatever other texts have that id.
+
+    Null, empty and blank texts all stay; of rows without an id, those whose
+    component has no id stay; repeated rows stay together; an empty table stays empty.
+    """
+    key = fresh(docs, "_near_row")
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, width, percent, text, doc_id, row=key)
+    gone = cut(found.where("not kept").select(F.col("_row").alias(key)))
+    return rows.join(gone, key, "left_anti").drop(key)
