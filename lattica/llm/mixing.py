@@ -13,12 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, fresh
 from .text import chunks, utf8, words
 from .worker import task
 
@@ -27,8 +26,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK = 128
 SEED = 20240607
-#: Slots of one output shard, and the bounds on the number of these shards (draws are made on the driver).
-SHARD_SLOTS, FEWEST, MOST_SHARDS = 1 << 16, 16, 1 << 15
+#: Slots of one output shard; shards whose draws one task makes. The driver draws once for all shards of such a task.
+SHARD_SLOTS, SHARDS_AT_ONCE = 1 << 12, 1 << 10
 #: A source's documents are laid end to end in so many parts, so no window holds all of a large source.
 PARTS = 1024
 
@@ -66,17 +65,14 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out
 
 
-def draws(slots: list[int], seed: int = SEED) -> np.ndarray:
-    """Rows (source, first slot, end slot), one per output shard and source with a count."""
+def draws(slots: np.ndarray, sizes: np.ndarray, seed: list[int]) -> Iterator[np.ndarray]:
+    """For each part, the number of its slots from every source; parts have `sizes` slots, as many as the sources have together.
+
+    Multinomial over what the sources still have to give.
+    """
     left = np.array(slots, np.int64)
-    total = int(left.sum())
-    shards = min(max(FEWEST, -(-total // SHARD_SLOTS)), MOST_SHARDS)
-    given, rows = np.zeros(len(slots), np.int64), []
     rng = np.random.default_rng(seed)
-    for shard in range(shards):
-        n = total * (shard + 1) // shards - total * shard // shards
-        if not n:
-            continue
+    for n in sizes:
         if n >= left.sum():
             count = left.copy()
         else:
@@ -84,10 +80,30 @@ def draws(slots: list[int], seed: int = SEED) -> np.ndarray:
             while (short := n - int(count.sum())) > 0:  # what a nearly spent source could not give
                 room = left - count
                 count += np.minimum(rng.multinomial(short, room / room.sum()), room)
-        rows += [(s, int(given[s]), int(given[s] + c)) for s, c in enumerate(count) if c]
-        given += count
         left -= count
-    return np.array(rows, np.int64).reshape(-1, 3)
+        yield count
+
+
+def parts_of(total: int, each: int) -> np.ndarray:
+    """total in parts of `each`, the last one smaller."""
+    return np.diff(np.append(np.arange(0, total, each), total))
+
+
+def group_draws(slots: list[int], seed: int = SEED) -> list[tuple[int, list[int], list[int]]]:
+    """(group, first slot of every source, slots of every source) of each group of SHARDS_AT_ONCE output shards."""
+    given, rows = np.zeros(len(slots), np.int64), []
+    for group, count in enumerate(draws(np.array(slots, np.int64), parts_of(sum(slots), SHARD_SLOTS * SHARDS_AT_ONCE), [seed, 0])):
+        rows.append((group, given.tolist(), count.tolist()))
+        given += count
+    return rows
+
+
+def shard_draws(group: int, first: list[int], count: list[int], seed: int = SEED) -> Iterator[tuple[int, int, int]]:
+    """(source, first slot, end slot) of each output shard of a group and source that it draws from."""
+    given = np.array(first, np.int64)
+    for own in draws(np.array(count, np.int64), parts_of(sum(count), SHARD_SLOTS), [seed, 1, group]):
+        yield from ((s, int(given[s]), int(given[s] + own[s])) for s in np.flatnonzero(own).tolist())
+        given += own
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -111,8 +127,9 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def taken_blocks(counted: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(documents with source_size, target and _start; documents' overlaps with blocks and how often each block is taken).
 
-    counted must be a written table. Sources are collected to the driver: a
-    source is a named data set, of which there are few at any size.
+    counted must be a written table. The list of sources is collected to the
+    driver, for their targets hang on each other: one row per named data set.
+    Every table made of it is joined as the planner sees fit by its size.
     """
     spark = counted.sparkSession
     sources = sorted(((r["source"], r["n"]) for r in counted.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0]))
@@ -121,7 +138,7 @@ def taken_blocks(counted: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     blocks = [-(-n // block) for n in sizes]
     slots = [min(most * b, round(g * b / n)) if n else 0 for n, g, b in zip(sizes, goal, blocks, strict=True)]
     table = spark.createDataFrame([(s, i, n, g) for i, ((s, n), g) in enumerate(zip(sources, goal, strict=True))], "_name string, _source int, source_size long, target double")
-    docs = counted.join(F.broadcast(table), counted["source"].eqNullSafe(table["_name"])).drop("_name")
+    docs = counted.join(table, counted["source"].eqNullSafe(table["_name"])).drop("_name")
 
     docs = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,21 +147,27 @@ def taken_blocks(counted: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     laid = docs.withColumn("_end", F.sum("size").over(inside)).join(starts, ["_source", "_part"])
     laid = laid.withColumn("_start", F.col("_before") + F.col("_end") - F.col("size")).drop("_part", "_end", "_before")
 
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, lo, hi in batch.itertuples(index=False):
-                for at in range(lo, hi, 1 << 18):
-                    slot = np.arange(at, min(hi, at + (1 << 18)))
-                    found = np.empty(len(slot), np.int64)
-                    for turn in np.unique(slot // blocks[s]):
-                        these = slot // blocks[s] == turn
-                        found[these] = permuted(slot[these] % blocks[s], blocks[s], seed + 1000003 * s + int(turn))
-                    yield pd.DataFrame({"_source": np.int32(s), "_block": found})
-
-    ranges = draws(slots, seed)
-    ranges = spark.createDataFrame(pd.DataFrame(ranges, columns=["s", "lo", "hi"])) if len(ranges) else spark.createDataFrame([], "s long, lo long, hi long")
-    # Range by range over all tasks: a shard's draw is one row here and SHARD_SLOTS rows after it.
-    times = ranges.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(task(drawn), "_source int, _block long").groupBy("_source", "_block").agg(F.count("*").alias("_times"))
+            for row in batch.to_pylist():
+                found = np.array(list(shard_draws(row["group"], row["first"], row["count"], seed)), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["s", "lo", "hi"])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                slot = np.arange(lo, hi)
+                found = np.empty(len(slot), np.int64)
+                for turn in np.unique(slot // blocks[s]):
+                    these = slot // blocks[s] == turn
+                    found[these] = permuted(slot[these] % blocks[s], blocks[s], seed + 1000003 * s + int(turn))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), s, np.int32)), pa.array(found)], ["_source", "_block"])
+
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    groups = spark.createDataFrame(group_draws(slots, seed), "group long, first array<long>, count array<long>").repartition(tasks)
+    # A shard's draw is a few rows here and SHARD_SLOTS rows after it.
+    ranges = groups.mapInArrow(task(dealt), "s long, lo long, hi long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    times = ranges.mapInArrow(task(drawn), "_source int, _block long").groupBy("_source", "_block").agg(F.count("*").alias("_times"))
     spread = laid.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
     spread = spread.select("_row", "_source", "_block", overlap.alias("_words"), (F.greatest(F.col("_block") * block, F.col("_start")) - F.col("_start")).alias("_from"))
@@ -165,33 +188,39 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **columns: str) -
     return laid.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source", size: str = "n_chars") -> DataFrame:
     """docs as the mix takes them: for each pass over its source, a document with the words that the pass takes of it.
 
-    Words keep their order and are joined by single spaces; n_chars, where
-    there is such a column, is the new text's length. A document of which
-    nothing is taken goes; other columns stay as they are.
+    Words keep their order and are joined by single spaces; `size`, where
+    there is such a column, is the new text's code points. A document of which
+    nothing is taken goes, as do null and empty texts; other columns stay as
+    they are, whatever their names. Repeated rows are taken each for itself; an
+    empty table gives an empty result.
     """
-    kept = cut(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    _, overlaps = taken_blocks(cut(word_counts(kept, row="_mix_row")), block, seed)
-    spans = overlaps.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_from", "_words", "_times"))).alias("_spans"))
+    key, spans = fresh(docs, "_mix_row"), fresh(docs, "_mix_spans")
+    kept = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    _, overlaps = taken_blocks(cut(word_counts(kept, text, doc_id, source, row=key)), block, seed)
+    taken = overlaps.groupBy(F.col("_row").alias(key)).agg(F.sort_array(F.collect_list(F.struct("_from", "_words", "_times"))).alias(spans))
+    joined = kept.join(taken, key).drop(key)
     names = docs.columns
-    joined = kept.join(spans, kept["_mix_row"] == spans["_row"]).drop("_row", "_mix_row")
+    at, sized = names.index(text), names.index(size) if size in names else None
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows = [], []
-            for i, (text, spans) in enumerate(zip(batch["text"], batch["_spans"], strict=True)):
-                split = text.encode().split()
-                for turn in range(1, MOST + 1):
-                    part = [w for s in spans if s["_times"] >= turn for w in split[s["_from"] : s["_from"] + s["_words"]]]
-                    if part:
-                        texts.append(b" ".join(part).decode())
-                        rows.append(i)
-            out = batch[names].iloc[rows].reset_index(drop=True)
-            out["text"] = texts
-            if "n_chars" in out:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    return joined.mapInPandas(task(take), docs.schema)
+            _, offsets = utf8(batch.column(at))
+            for lo, hi in chunks(offsets):
+                texts, rows = [], []
+                for i in range(lo, hi):
+                    split = batch.column(at)[i].as_py().encode().split()
+                    for turn in range(1, MOST + 1):
+                        part = [w for s in batch.column(len(batch.columns) - 1)[i].as_py() if s["_times"] >= turn for w in split[s["_from"] : s["_from"] + s["_words"]]]
+                        if part:
+                            texts.append(b" ".join(part).decode())
+                            rows.append(i)
+                columns = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+                columns[at] = pa.array(texts, columns[at].type)
+                if sized is not None:
+                    columns[sized] = pa.array([len(t) for t in texts], columns[sized].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(task(take), docs.schema)
