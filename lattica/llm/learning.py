@@ -35,6 +35,11 @@ def sample(labels: DataFrame, target: str, keep: Column, doc_id: str = "doc_id",
     return labels.sparkSession.createDataFrame(rows, usable.select("_id", "_label").schema)
 
 
+def spaced(rows: np.ndarray, most: int) -> np.ndarray:
+    """All rows, or `most` evenly spaced ones."""
+    return rows if len(rows) <= most else rows[np.arange(most) * len(rows) // most]
+
+
 def adam(loss: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int, rate: float, project: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Minimises a loss, given as its gradient; `project` maps the parameters back after each step."""
     x, first, second = start.copy(), np.zeros_like(start), np.zeros_like(start)

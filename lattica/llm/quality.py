@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import adam, fold, sample, sigmoid
+from .learning import adam, fold, sample, sigmoid, spaced
 from .text import CHUNK_BYTES, chunks, mix, span_hashes, utf8, words
 from .worker import task
 
 PASSAGE = 64
 HIDDEN, ATTENTION = 16, 8
-#: Documents of more passages serve for scoring only, not for training.
+#: Passages of a document to fit on, at most: of a longer one, evenly spaced ones. Scores are of all passages.
 TRAIN_PASSAGES = 400
 #: Labelled documents to fit on, at most.
 SAMPLE = 2500
@@ -174,7 +174,7 @@ class AttentionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quality", doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> AttentionModel | None:
-    """A model of at most `limit` labelled documents (learning.sample); None where no row is labelled."""
+    """A model of at most `limit` labelled documents (learning.sample); None where no row is labelled. A repeated doc_id counts once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quality
             out = []
             for lo, hi in chunks(offsets):
                 features, count = passages(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                out += [part.tobytes() for part in np.split(features, np.cumsum(count)[:-1])]
+                out += [spaced(part, TRAIN_PASSAGES).tobytes() for part in np.split(features, np.cumsum(count)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["_id", "_label", "_bag"])
 
     chosen = sample(labels, target, keep, doc_id, limit)
@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "quality
     kind = rows.schema["_id"].dataType.simpleString()
     encoded = rows.select("_id", "_text", "_label").mapInArrow(task(encode), f"_id {kind}, _label int, _bag binary")
     # Bounded by `limit` documents of at most TRAIN_PASSAGES passages; ordered, so that reruns agree.
-    found = sorted(((r["_id"], bytes(r["_bag"]), r["_label"]) for r in encoded.where(F.length("_bag") <= 4 * FEATURES * TRAIN_PASSAGES).collect()))[: 2 * limit]
+    once = encoded.groupBy("_id").agg(F.min("_bag").alias("_bag"), F.min("_label").alias("_label"))
+    found = sorted((r["_id"], bytes(r["_bag"]), r["_label"]) for r in once.collect())
     if not found:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b, _ in found]
@@ -226,7 +227,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, of: int = 3, held: int =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, of: int = 3, held: int = 1, target: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject (score >= 0.5), with all their columns."""
+    """The rows of docs that the classifier doesn't reject (score >= 0.5), with all their columns.
+
+    Null and empty texts are judged as one empty passage; repeated rows stay or
+    go together; null ids are no obstacle; without usable labels all rows stay;
+    an empty table stays empty.
+    """
     model = fit(docs, labels, fold(doc_id, of) != held, target, doc_id, text)
     at = docs.columns.index(text)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import SAMPLE, adam, fold, sample, sigmoid
+from .learning import SAMPLE, adam, fold, sample, sigmoid, spaced
 from .text import CHUNK_BYTES, LOWER, chunks, span_hashes, utf8, words
 from .worker import task
 
@@ -25,8 +25,8 @@ BITS = 20
 STEMS = (4, 6)
 #: Features in fewer training documents get no weight; of the others, those most associated with the labels do.
 LEAST_DOCUMENTS, FEATURES = 3, 4096
-#: Longer documents (words) serve for scoring only, not for training.
-TRAIN_WORDS = 20_000
+#: Words of a document to fit on, about: of a longer one, evenly spaced sentences. Scores are of all sentences.
+TRAIN_WORDS = 2_500
 #: Of the fit: steps of each of its two parts, their size, the lasso, the least weight that passes it, the first bias.
 ROUNDS, RATE, LASSO, LEAST_WEIGHT, BIAS = 200, 0.1, 1e-3, 0.5, -6.0
 
@@ -61,6 +61,18 @@ def sentence_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return bucket, sentence, row[heads], starts[heads], ends[last]
 
 
+def shortened(bag: np.ndarray) -> np.ndarray:
+    """The (bucket, sentence) rows of evenly spaced sentences, renumbered, where a text has more than TRAIN_WORDS words."""
+    most = 3 * TRAIN_WORDS  # a word has up to three features
+    if len(bag) <= most:
+        return bag
+    used = spaced(np.arange(bag[:, 1].max() + 1), max(1, int(most * (bag[:, 1].max() + 1) / len(bag))))
+    number = np.full(bag[:, 1].max() + 1, -1)
+    number[used] = np.arange(len(used))
+    bag = np.stack([bag[:, 0], number[bag[:, 1]]], 1)[number[bag[:, 1]] >= 0]
+    return spaced(bag, most)  # a single sentence can be longer than that
+
+
 class NoisyOr:
     """Weights of word buckets and the bias of every sentence."""
 
@@ -111,7 +123,7 @@ class NoisyOr:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic", doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> NoisyOr | None:
-    """A model of at most `limit` labelled documents (learning.sample); None where no row is labelled."""
+    """A model of at most `limit` labelled documents (learning.sample); None where no row is labelled. A repeated doc_id counts once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic",
             out = []
             for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
                 bucket, sentence, *_ = sentence_words(raw[lo:hi], np.array([0, hi - lo]))
-                out.append(np.stack([bucket, sentence], 1).astype(np.int32).tobytes())
+                out.append(shortened(np.stack([bucket, sentence], 1)).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["_id", "_label", "_bag"])
 
     chosen = sample(labels, target, keep, doc_id, limit)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     kind = rows.schema["_id"].dataType.simpleString()
     encoded = rows.select("_id", "_text", "_label").mapInArrow(task(encode), f"_id {kind}, _label int, _bag binary")
-    # Bounded by `limit` documents of at most TRAIN_WORDS words; ordered, so that reruns agree.
-    found = sorted(((r["_id"], bytes(r["_bag"]), r["_label"]) for r in encoded.where(F.length("_bag") <= 8 * 3 * TRAIN_WORDS).collect()))[: 2 * limit]
+    # Bounded by `limit` documents of about TRAIN_WORDS words; ordered, so that reruns agree.
+    once = encoded.groupBy("_id").agg(F.min("_bag").alias("_bag"), F.min("_label").alias("_label"))
+    found = sorted((r["_id"], bytes(r["_bag"]), r["_label"]) for r in once.collect())
     if not found:
         return None
     bags = [np.frombuffer(b, np.int32).reshape(-1, 2).astype(np.int64) for _, b, _ in found]
@@ -138,56 +151,73 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, target: str = "toxic",
     return NoisyOr.fit(bucket, sentence, np.repeat(np.arange(len(bags)), sizes), np.array([y for *_, y in found]))
 
 
-def scores(column: pa.Array, model: NoisyOr | None) -> np.ndarray:
-    """Of each text of an Arrow column; 0 without a model."""
-    raw, offsets = utf8(column)
-    out = [np.zeros(0)]
-    for lo, hi in chunks(offsets, CHUNK_BYTES):
-        if model is None:
-            out.append(np.zeros(hi - lo))
-            continue
-        bucket, sentence, row, *_ = sentence_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        out.append(model.documents(model.sentences(bucket, sentence, len(row)), row, hi - lo))
-    return np.concatenate(out)
+def offences(raw: np.ndarray, bounds: np.ndarray, model: NoisyOr | None, threshold: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, int, int, float]]]]:
+    """(score of each row; for each row its offending sentences: start, end in code points, start, end in bytes of raw, score).
+
+    Offending are sentences with a score of at least `threshold`; in a document
+    that reaches it only by many lesser sentences, the worst of them.
+    """
+    rows = len(bounds) - 1
+    found: list[list[tuple[int, int, int, int, float]]] = [[] for _ in range(rows)]
+    if model is None:
+        return np.zeros(rows), found
+    bucket, sentence, row, start, end = sentence_words(raw, bounds)
+    p = model.sentences(bucket, sentence, len(row))
+    score = model.documents(p, row, rows)
+    bad = p >= threshold
+    for i in np.flatnonzero(score >= threshold):
+        lo, hi = np.searchsorted(row, [i, i + 1])
+        own = lo + np.flatnonzero(bad[lo:hi]) if bad[lo:hi].any() else [lo + int(p[lo:hi].argmax())]
+        heads = np.concatenate([[0], np.cumsum((raw[bounds[i] : bounds[i + 1]] & 0xC0) != 0x80)])
+        found[i] = [(int(heads[start[k] - bounds[i]]), int(heads[end[k] - bounds[i]]), int(start[k]), int(end[k]), float(p[k])) for k in own]
+    return score, found
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, of: int = 5, held: int = 0, target: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; learned from labelled rows whose fold is not `held`.
+    """doc_id, held_out, score, predicted, sentences for every row of docs; learned from labelled rows whose fold is not `held`.
 
-    Texts without words (null and empty ones too) score 0. Repeated rows get
-    equal scores. Without usable labels every score is 0. Other columns are not
-    read; an empty table gives an empty result.
+    sentences: the places of the offending sentences, start:end (code points,
+    end exclusive), comma-joined. Texts without words (null and empty ones
+    too) score 0. Repeated rows get equal scores. Without usable labels every
+    score is 0. Other columns are not read; an empty table gives an empty result.
     """
     model = fit(docs, labels, fold(doc_id, of) != held, target, doc_id, text)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(batch.column(2), model))], ["doc_id", "held_out", "score"])
+            raw, offsets = utf8(batch.column(2))
+            score, places = [np.zeros(0)], []
+            for lo, hi in chunks(offsets, CHUNK_BYTES):
+                own, found = offences(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model)
+                score.append(own)
+                places += [",".join(f"{a}:{b}" for a, b, *_ in spans) for spans in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(score)), pa.array(places, pa.string())], ["doc_id", "held_out", "score", "sentences"])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, of) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    scored = columns.mapInArrow(task(turn), f"doc_id {kind}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = columns.mapInArrow(task(turn), f"doc_id {kind}, held_out boolean, score double, sentences string")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end (code points, end exclusive), sentence, score of the sentences with a score of at least `threshold`."""
+    """doc_id, start, end (code points, end exclusive), sentence, score: one row per offending sentence of every row of docs.
+
+    Texts without words, null and empty ones too, have none; repeated rows give
+    repeated results; a null doc_id stays null; other columns are not read; an
+    empty table gives an empty result.
+    """
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            ids, found = [], []
+            ids, rows = [], []
             for lo, hi in chunks(offsets, CHUNK_BYTES):
-                part, bounds = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                bucket, sentence, row, start, end = sentence_words(part, bounds)
-                p = model.sentences(bucket, sentence, len(row))
-                heads = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                for i in np.flatnonzero(p >= threshold):
-                    base = heads[bounds[row[i]]]
-                    ids.append(lo + int(row[i]))
-                    found.append((int(heads[start[i]] - base), int(heads[end[i]] - base), part[start[i] : end[i]].tobytes().decode(), float(p[i])))
-            if found:
-                start, end, sentence, p = zip(*found, strict=True)
+                part = raw[offsets[lo] : offsets[hi]]
+                for i, spans in enumerate(offences(part, offsets[lo : hi + 1] - offsets[lo], model, threshold)[1], lo):
+                    ids += [i] * len(spans)
+                    rows += [(a, b, part[x:y].tobytes().decode(), p) for a, b, x, y, p in spans]
+            if rows:
+                start, end, sentence, p = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(sentence), pa.array(p)], ["doc_id", "start", "end", "sentence", "score"])
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
