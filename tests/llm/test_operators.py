@@ -329,13 +329,25 @@ def test_search_equals_brute_force(spark):
     assert covertree.top_k(df.limit(0)).count() == 0
 
 
-def test_search_prunes_clusters():
+def test_search_prunes_clusters(spark):
+    """Clusters over many slabs: a query meets few of them, and the results are those of brute force."""
     rng = np.random.default_rng(2)
-    centers = rng.standard_normal((20, 8)) * 200
-    data = np.round(np.concatenate([c + rng.standard_normal((100, 8)) for c in centers]))
-    job = covertree.Search(data[::40], np.arange(0, 2000, 40), data, np.arange(2000), np.arange(2000), 5)
-    job.run()
-    assert job.pairs < 0.5 * 50 * 2000
+    centers = rng.standard_normal((40, 8)) * 3
+    x = np.concatenate([c + rng.standard_normal((100, 8)) * 0.05 for c in centers])
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(list)
+    for r in covertree.top_k(df, 5, 50, 256, slab=200).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = np.floor(256 * x).astype(np.int64)
+    for q in range(0, len(x), 50):
+        score = whole @ whole[q]
+        score[q] = -(1 << 40)
+        best = np.lexsort((np.arange(len(x)), -score))[:5]
+        assert found[q] == [(int(i), int(score[i])) for i in best]
+    pairs = covertree.pairs_compared(df, 5, 50, 256, slab=200)
+    assert 0 < pairs < 0.25 * 80 * 4000
 
 
 # 5: mixing
