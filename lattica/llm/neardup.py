@@ -258,10 +258,12 @@ def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
 
 
-def compare(rows: DataFrame, keys: list[str], pairs: Callable[[pd.DataFrame, np.ndarray, Allowed], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """a, b: edges that connect what `pairs` finds in each group of `keys`, and a row (c, c) for the class c with most links of each part.
+def compare(rows: DataFrame, group: str, keys: list[str], pairs: Callable[[pd.DataFrame, np.ndarray, Allowed], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """a, b, _of, _best: edges (a, b) that connect what `pairs` finds in each frame of equal `keys`, b being the least of its part.
 
-    Where rows has _minor and _part, only a minor row and a row that isn't are compared, if of unlike parts.
+    Rows of a group of several chunks come back each, with their group as _of;
+    _best marks the one with most links of each part there. Where rows has
+    _minor and _part, only a minor row and one that isn't are compared, if of unlike parts.
     """
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,18 +273,25 @@ def compare(rows: DataFrame, keys: list[str], pairs: Callable[[pd.DataFrame, np.
             if "_minor" in frame:
                 minor, part = frame["_minor"].to_numpy(), frame["_part"].to_numpy()
                 allowed = lambda a, b: (minor[a] != minor[b]) & (part[a] != part[b])
-            node = frame["node"].to_numpy()
-            a, b = pairs(frame, group_numbers(frame, keys), allowed)
-            linked, degree = np.unique(np.concatenate([node[a], node[b]]), return_counts=True)
+            node, number = frame["node"].to_numpy(), group_numbers(frame, keys)
+            a, b = pairs(frame, number, allowed)
+            links = np.bincount(np.concatenate([a, b]), minlength=len(node))
             a, b = forest(node[a], node[b])
-            # Forest edges are (node, least node of its part).
-            label = linked.copy()
-            label[np.searchsorted(linked, a)] = b
-            order = np.lexsort((linked, -degree, label))
-            best = linked[order[np.diff(label[order], prepend=-1) > 0]] if len(linked) else linked
-            yield pd.DataFrame({"a": np.concatenate([a, best]), "b": np.concatenate([b, best])})
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task(turn), "a long, b long")
+            yield pd.DataFrame({"a": a, "b": b, "_of": pd.array([None] * len(a), "Int64"), "_best": False})
+            member = np.flatnonzero((frame["_chunks"] > 1).to_numpy())
+            if len(member) and "_minor" not in frame:
+                label = node[member]
+                if len(a):
+                    order = np.argsort(a)
+                    at = np.minimum(np.searchsorted(a, label, sorter=order), len(a) - 1)
+                    label = np.where(a[order[at]] == label, b[order[at]], label)
+                links, number = links[member], number[member]
+                order = np.lexsort((node[member], -links, label, number))
+                best = np.zeros(len(member), bool)
+                best[order] = (np.diff(label[order], prepend=-1) != 0) | (np.diff(number[order], prepend=-1) != 0)
+                yield pd.DataFrame({"a": node[member], "b": label, "_of": pd.array(frame[group].to_numpy()[member], "Int64"), "_best": best & (links > 0)})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task(turn), "a long, b long, _of long, _best boolean")
 
 
 def connected(rows: DataFrame, group: str, several: bool, pairs: Callable) -> DataFrame:
@@ -293,26 +302,29 @@ def connected(rows: DataFrame, group: str, several: bool, pairs: Callable) -> Da
     """
     dealt = lambda n: F.pmod(F.xxhash64("node", group), n).cast("int")
     keys = [group, "_lo"]
-    edges = compare(rows.withColumn("_lo", dealt(F.col("_chunks"))), keys, pairs)
+    found = compare(rows.withColumn("_lo", dealt(F.col("_chunks"))), group, keys, pairs)
     if not several:
-        return components(edges)
-    edges = cut(edges)
-    large = rows.where("_chunks > 1")
-    # Representatives meet in chunks of their own.
-    best = large.join(edges.where("a = b").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    count = best.groupBy(group).agg(F.ceil(F.count("*") / F.max("_each")).cast("int").alias("_meet"))
-    edges = cut(edges.union(compare(best.join(count, group).withColumn("_lo", dealt(F.col("_meet"))), keys, pairs)))
+        return components(found)
+    found, large = cut(found), cut(rows.where("_chunks > 1"))
+    # Representatives of the chunks' parts meet in chunks of their own.
+    parts = found.where("_of is not null").select(F.col("_of").alias(group), F.col("a").alias("node"), F.col("b").alias("_own"), "_best")
+    heads = parts.where("_best").select(group, "node", "_own")
+    count = heads.groupBy(group).agg(F.count("*").alias("_heads"))
+    meeting = large.join(heads.drop("_own"), [group, "node"]).join(count, group).withColumn("_lo", dealt(F.ceil(F.col("_heads") / F.col("_each")).cast("int"))).drop("_heads")
+    met = cut(compare(meeting, group, keys, pairs))
+    joined = heads.join(met.where("_of is not null").select(F.col("_of").alias(group), F.col("a").alias("node"), F.col("b").alias("_met")), [group, "node"])
+    joined = joined.groupBy(group, "_own").agg(F.min("_met").alias("_met"))
     # What is outside its group's largest part is compared with all of the group.
-    parts = cut(large.select(group, "node", "_each").join(components(edges).withColumnRenamed("label", "_part"), "node", "left").withColumn("_part", F.coalesce("_part", "node")))
-    sizes = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.max("_each").alias("_each"))
-    largest = sizes.groupBy(group).agg(F.max(F.struct("_n", "_part")).alias("_top"), F.sum("_n").alias("_all"), F.max("_each").alias("_each"))
-    largest = largest.select(group, F.col("_top._part").alias("_most"), F.ceil((F.col("_all") - F.col("_top._n")) / F.col("_each")).cast("int").alias("_minors")).where("_minors > 0")
-    sided = large.join(parts.drop("_each"), [group, "node"]).join(largest, group)
+    parts = cut(parts.join(joined, [group, "_own"], "left").select(group, "node", F.coalesce("_met", "_own").alias("_part")))
+    sizes = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("_n", "_part")).alias("_top"), F.sum("_n").alias("_all")).where("_all > _top._n")
+    sided = large.join(parts, [group, "node"]).join(largest.select(group, F.col("_top._part").alias("_most"), (F.col("_all") - F.col("_top._n")).alias("_left")), group)
+    sided = cut(sided.withColumn("_minors", F.ceil(F.col("_left") / F.col("_each")).cast("int")).drop("_left"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     whole = sided.withColumn("_minor", F.lit(False)).withColumn("_lo", dealt(F.col("_chunks"))).withColumn("_hi", every(F.col("_minors")))
     minor = sided.where("_part <> _most").withColumn("_minor", F.lit(True)).withColumn("_hi", dealt(F.col("_minors"))).withColumn("_lo", every(F.col("_chunks")))
-    rest = compare(whole.unionByName(minor).drop("_most", "_minors"), [*keys, "_hi"], pairs)
-    return components(edges.union(rest))
+    rest = compare(whole.unionByName(minor).drop("_most", "_minors"), group, [*keys, "_hi"], pairs)
+    return components(found.select("a", "b").union(met.select("a", "b")).union(rest.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
