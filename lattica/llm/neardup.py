@@ -41,7 +41,7 @@ BAND_ROWS, MISS_BANDS, MISS_TEST = 5, 1e-6, 1e-5
 #: Hashes compared at once.
 BATCH = 24
 #: Classes in a chunk of a bucket; classes and shingles in a chunk of a component.
-CHUNK, EXACT_CHUNK, EXACT_SHINGLES = 1024, 512, 1 << 19
+CHUNK, EXACT_CHUNK, EXACT_SHINGLES = 4096, 3072, 1 << 20
 PAIRS_AT_ONCE = 1 << 16
 SEED = 11
 
@@ -248,14 +248,22 @@ def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4096
+    # Counts are below 2 ** 24, so they are exact; a chunk's table of them has EXACT_CHUNK ** 2 entries at most, four times that where minor rows meet their group.
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
     for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, [lo, lo + width])
-        block = np.zeros((len(sets), width), np.float32)
-        block[owner[a:b], code[a:b] - lo] = 1
-        both += block @ block.T
-    return np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+        used = np.unique(owner[a:b])
+        block = np.zeros((len(used), width), np.float32)
+        block[np.searchsorted(used, owner[a:b]), code[a:b] - lo] = 1
+        both[np.ix_(used, used)] += block @ block.T
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(sets), 256):
+        part = both[i : i + 256, i:].astype(np.float64)
+        a, b = np.nonzero(100 * part >= percent * (sizes[i : i + 256, None] + sizes[None, i:] - part))
+        left.append(i + a[a < b])
+        right.append(i + b[a < b])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def compare(rows: DataFrame, group: str, keys: list[str], pairs: Callable[[pd.DataFrame, np.ndarray, Allowed], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
