@@ -6,6 +6,7 @@ ordered series of values; `part` is a one-dimensional tensor.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -105,6 +106,26 @@ for _name, _make, _sql in (
 ):
     add(_name, lambda s, d, make=_make: make(parts(s, d)).df, f"SELECT CAST(p_partkey - 1 AS INTEGER) AS x, CAST({_sql} AS INTEGER) AS value FROM part", cells=False)
 
+# Integers wrap as their dtype does.
+
+
+def bytes_of(t: TensorFrame) -> TensorFrame:
+    return t.apply(lambda v: F.floor((v + 1) * 127).cast("bigint"), "int64").astype("uint8")
+
+
+_BYTE = "CAST(floor((value + 1) * 127) AS BIGINT) % 256"
+for _name, _make, _sql in (
+    ("uint8_add", lambda t: t + 250, "(b + 250) % 256"), ("uint8_sub", lambda t: 3 - t, "((3 - b) % 256 + 256) % 256"), ("uint8_mul", lambda t: t * t, "(b * b) % 256"),
+    ("uint8_shift", lambda t: t << 1, "(b * 2) % 256"), ("uint8_not", lambda t: ~t, "255 - b"), ("uint8_neg", lambda t: -t, "(256 - b) % 256"), ("uint8_pow", lambda t: t ** 3, "(b * b * b) % 256"),
+):
+    tensor_query(_name, lambda t, make=_make: make(bytes_of(t)), f"SELECT {AT}, CAST({_sql} AS SMALLINT) AS value FROM (SELECT {AT}, {_BYTE} AS b FROM cells)")
+for _name, _make, _sql in (
+    ("int32_floordiv", lambda t: (t - 25) // 7, "floor((p_size - 25) / 7.0)"), ("int32_mod", lambda t: (t - 25) % -7, "(p_size - 25) - (-7) * floor((p_size - 25) / -7.0)"),
+    ("int32_pow_wraps", lambda t: t ** 7, "((p_size::HUGEINT ** 7)::HUGEINT + 2147483648) % 4294967296 - 2147483648"), ("int32_mul_wraps", lambda t: t * 2_000_000_000, "((p_size::HUGEINT * 2000000000) + 2147483648) % 4294967296 - 2147483648"),
+):
+    add(_name, lambda s, d, make=_make: make(parts(s, d)).df, f"SELECT CAST(p_partkey - 1 AS INTEGER) AS x, CAST({_sql} AS INTEGER) AS value FROM part", cells=False)
+add("int64_mul_wraps", lambda s, d: (parts(s, d).astype("int64") * 4_000_000_000_000_000_003).df, "SELECT CAST(p_partkey - 1 AS INTEGER) AS x, CAST((p_size::HUGEINT * 4000000000000000003 + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS value FROM part", cells=False)
+
 tensor_query("argsort", lambda t: t.argsort("x"), f"SELECT vec_id, channel, y, CAST(row_number() OVER (PARTITION BY vec_id, channel, y ORDER BY value, x) - 1 AS INTEGER) AS x, CAST(x AS BIGINT) AS value FROM cells")
 
 # T: selection and shape
@@ -307,9 +328,9 @@ add("merged_partial_stats", _merged, "SELECT event_type, CAST(n AS BIGINT) AS n,
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
     schema = _events(spark, sf_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a file, or a folder of part files
     return _stats(running.stream_statistics(stream, ["event_type"], "value", name, f"{folder}/{name}"), "event_type", "n")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
@@ -35,13 +36,16 @@ class TensorFrame:
 
     @classmethod
     def from_packed(cls, df: DataFrame, data: str, dims: Sequence[str], shape: Sequence[int], keys: Sequence[str], dtype: str = "float64") -> TensorFrame:
-        """Cells of a column of flat row-major arrays, all of one shape; null arrays have no cells."""
+        """Cells of a column of flat row-major arrays, all of one shape; null arrays have no cells, arrays of another length fail the query."""
         position = F.col("_p")
         columns = []
         for i, (dim, n) in enumerate(zip(dims, shape, strict=True)):
             stride = math.prod(shape[i + 1 :])
             columns.append(F.pmod(F.floor(position / stride), F.lit(n)).cast("int").alias(dim))
-        cells = df.select(*keys, F.posexplode(data).alias("_p", "_v"))
+        n = math.prod(shape)
+        wrong = F.raise_error(F.concat(F.lit(f"{data} should have {n} values, not "), F.size(data).cast("string")))
+        whole = F.when(F.col(data).isNull() | (F.size(data) == n), F.col(data)).otherwise(wrong)
+        cells = df.select(*keys, F.posexplode(whole).alias("_p", "_v"))
         return cls(cells.select(*keys, *columns, F.col("_v").cast(N.SPARK_TYPES[dtype]).alias(V)), tuple(dims), tuple(keys), dtype, tuple(shape))
 
     @classmethod
@@ -54,10 +58,16 @@ class TensorFrame:
         if dtype not in N.SPARK_TYPES:
             raise ValueError(f"no tensor of dtype {array.dtype}")
         keys = () if key is None else ("sample_id",)
-        rows = [(*(() if key is None else (key,)), *map(int, at), array[at].item()) for at in np.ndindex(array.shape)]
+        plain = Decimal if dtype == "uint64" else (lambda v: v)
+        rows = [(*(() if key is None else (key,)), *map(int, at), plain(array[at].item())) for at in np.ndindex(array.shape)]
         named = f"{'' if key is None else 'sample_id ' + ('string' if isinstance(key, str) else 'bigint') + ', '}{''.join(f'{d} int, ' for d in dims)}{V} {N.SPARK_TYPES[dtype]}"
         return cls(spark.createDataFrame(rows, named), dims, keys, dtype, tuple(array.shape))
 
+    @classmethod
+    def from_xarray(cls, spark: SparkSession, array: Any, key: Any = None) -> TensorFrame:
+        """From anything with `values` and `dims`, such as an xarray.DataArray; coordinates and name are dropped."""
+        return cls.from_numpy(spark, np.asarray(array.values), tuple(map(str, array.dims)), key)
+
     # metadata
 
     @property
@@ -104,32 +114,51 @@ class TensorFrame:
         mine, theirs = self.sizes, other.sizes
         if clash := [d for d in shared if mine[d] != theirs[d]]:
             raise ValueError(f"sizes differ along {clash}")
-        on = [k for k in self.keys if k in other.keys] + shared
+        same = [k for k in self.keys if k in other.keys]
         right = other.df.withColumnRenamed(V, "_other")
-        joined = self.df.join(right, on) if on else self.df.crossJoin(F.broadcast(right))
+        joined = N.matched(self.df, right, same, shared) if same or shared else self.df.crossJoin(right)
         dims = self.dims + tuple(d for d in other.dims if d not in self.dims)
         keys = self.keys + tuple(k for k in other.keys if k not in self.keys)
         known = tuple({**theirs, **mine}[d] for d in dims)
         return TensorFrame(joined.select(*keys, *dims, function(F.col(V), F.col("_other")).alias(V)), dims, keys, dtype or self.dtype, known)
 
-    def _arithmetic(self, other: Any, function: Any, reflected: bool = False) -> TensorFrame:
-        return self.binary(other, function, "float64" if not self._whole(other) else self.dtype, reflected)
-
-    def _whole(self, other: Any) -> bool:
-        kind = other.dtype if isinstance(other, TensorFrame) else ("int64" if isinstance(other, int) else "float64")
-        return "float" not in self.dtype and "float" not in kind
+    def _common(self, other: Any) -> str:
+        """The dtype of integer arithmetic with a tensor or number; float64 where either is no integer."""
+        if isinstance(other, TensorFrame):
+            found = np.result_type(self.dtype, other.dtype).name
+        else:  # a number takes the tensor's dtype; beside truth values it is an integer
+            found = "float64" if isinstance(other, float | np.floating) else ("int64" if self.dtype == "bool" and not isinstance(other, bool | np.bool_) else self.dtype)
+        return "float64" if found.startswith("float") else found
+
+    def _arithmetic(self, other: Any, floats: Any, whole: Any, reflected: bool = False) -> TensorFrame:
+        """floats(a, b) on floats; whole(a, b, dtype) on integers, which wrap as their dtype does."""
+        dtype = self._common(other)
+        if dtype == "float64":
+            return self.binary(other, floats, dtype, reflected)
+        if not isinstance(other, TensorFrame) and not N.holds(dtype, int(other)):
+            raise OverflowError(f"{other} is out of bounds for {dtype}")
+        return self.binary(other, lambda a, b: whole(a, b, dtype), dtype, reflected)
 
     def __add__(self, other: Any) -> TensorFrame:
-        return self._arithmetic(other, lambda a, b: a + b)
+        if self._common(other) == "bool":
+            return self | other
+        return self._arithmetic(other, lambda a, b: a + b, lambda a, b, t: N.wrapped(N.widened(a, t) + N.widened(b, t), t))
+
+    def _minus(self, other: Any, reflected: bool) -> TensorFrame:
+        if self._common(other) == "bool":
+            raise TypeError("truth values can't be subtracted; use ^")
+        return self._arithmetic(other, lambda a, b: a - b, lambda a, b, t: N.wrapped(N.widened(a, t) - N.widened(b, t), t), reflected)
 
     def __sub__(self, other: Any) -> TensorFrame:
-        return self._arithmetic(other, lambda a, b: a - b)
+        return self._minus(other, False)
 
     def __rsub__(self, other: Any) -> TensorFrame:
-        return self._arithmetic(other, lambda a, b: a - b, True)
+        return self._minus(other, True)
 
     def __mul__(self, other: Any) -> TensorFrame:
-        return self._arithmetic(other, lambda a, b: a * b)
+        if self._common(other) == "bool":
+            return self & other
+        return self._arithmetic(other, lambda a, b: a * b, N.product)
 
     __radd__, __rmul__ = __add__, __mul__
 
@@ -139,23 +168,39 @@ class TensorFrame:
     def __rtruediv__(self, other: Any) -> TensorFrame:
         return self.binary(other, N.divide, "float64", True)
 
+    def _numbers(self, other: Any) -> tuple[TensorFrame, Any]:
+        """Both, truth values as int8 where both are truth values."""
+        if self._common(other) != "bool":
+            return self, other
+        return self.astype("int8"), other.astype("int8") if isinstance(other, TensorFrame) else int(other)
+
+    def _whole_division(self, other: Any, floats: Any, part: int, reflected: bool = False) -> TensorFrame:
+        own, other = self._numbers(other)
+        return own._arithmetic(other, floats, lambda a, b, t: N.floor_parts(a, b, t)[part], reflected)
+
     def __floordiv__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.floor_divide, "float64")
+        return self._whole_division(other, N.floor_divide, 0)
 
     def __rfloordiv__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.floor_divide, "float64", True)
+        return self._whole_division(other, N.floor_divide, 0, True)
 
     def __mod__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.modulo, "float64")
+        return self._whole_division(other, N.modulo, 1)
 
     def __rmod__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.modulo, "float64", True)
+        return self._whole_division(other, N.modulo, 1, True)
+
+    def _power(self, other: Any, reflected: bool) -> TensorFrame:
+        own, other = self._numbers(other)
+        if not reflected and isinstance(other, int) and other < 0 and "float" not in own.dtype:
+            raise ValueError("integers to negative integer powers")
+        return own._arithmetic(other, N.power, N.whole_power, reflected)
 
     def __pow__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.power, "float64")
+        return self._power(other, False)
 
     def __rpow__(self, other: Any) -> TensorFrame:
-        return self.binary(other, N.power, "float64", True)
+        return self._power(other, True)
 
     def _bits(self, other: Any, logical: Any, bitwise: Any) -> TensorFrame:
         return self.binary(other, logical if self.dtype == "bool" else bitwise)
@@ -172,10 +217,14 @@ class TensorFrame:
     __rand__, __ror__, __rxor__ = __and__, __or__, __xor__
 
     def __lshift__(self, n: int) -> TensorFrame:
-        return self.apply(lambda a: F.shiftleft(a, n))
+        """Bits that leave the dtype are lost."""
+        return self.apply(lambda a: N.product(a, F.lit(1 << n), self.dtype) if n < N.BITS[self.dtype] else a - a)
 
     def __rshift__(self, n: int) -> TensorFrame:
-        return self.apply(lambda a: F.shiftright(a, n))
+        """Signed integers keep their sign."""
+        if self.dtype == "uint64":
+            return self.apply(lambda a: F.floor(a / F.lit(str(1 << n)).cast("decimal(38,0)")).cast("decimal(20,0)"))
+        return self.apply(lambda a: F.shiftright(a.cast("bigint"), min(n, 63)).cast(N.SPARK_TYPES[self.dtype]))
 
     def compare(self, op: str, other: Any) -> TensorFrame:
         return self.binary(other, lambda a, b: N.compare(op, a, b), "bool")
@@ -201,15 +250,17 @@ class TensorFrame:
     __hash__ = object.__hash__
 
     def __neg__(self) -> TensorFrame:
-        return self.apply(lambda a: -a)
+        return self * -1.0 if "float" in self.dtype else self._minus(0, True)
 
     def __pos__(self) -> TensorFrame:
         return self
 
     def __abs__(self) -> TensorFrame:
-        return self.apply(F.abs)
+        return self.apply(F.abs if "float" in self.dtype else lambda a: N.wrapped(F.abs(N.widened(a, self.dtype)), self.dtype))
 
     def __invert__(self) -> TensorFrame:
+        if self.dtype.startswith("u"):
+            return self.apply(lambda a: (F.lit(str((1 << N.BITS[self.dtype]) - 1)).cast("decimal(20,0)") - a).cast(N.SPARK_TYPES[self.dtype]))
         return self.apply((lambda a: ~a) if self.dtype == "bool" else F.bitwise_not)
 
     def round(self, digits: int = 0) -> TensorFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Logical dtype -> Spark type; unsigned types are held one size up.
@@ -100,6 +101,81 @@ def as_dtype(a: Column, source: str, target: str) -> Column:
     return wrapped.cast(kind)
 
 
+def widened(a: Column, dtype: str) -> Column:
+    """An integer with room for its sums; products of up to 16 bits fit as well, others go through product()."""
+    return a.cast("int").cast("decimal(38,0)" if BITS[dtype] == 64 else "bigint") if dtype == "bool" else a.cast("decimal(38,0)" if BITS[dtype] == 64 else "bigint")
+
+
+def holds(dtype: str, value: int) -> bool:
+    """Whether an integer dtype (or bool) holds a number."""
+    if dtype == "bool":
+        return value in (0, 1)
+    low = 0 if dtype.startswith("u") else -(1 << BITS[dtype] - 1)
+    return low <= value < low + (1 << BITS[dtype])
+
+
+def wrapped(a: Column, dtype: str) -> Column:
+    """An integer (a bigint, or a decimal for 64-bit types) as the type holds it: modulo two to its bits."""
+    if BITS[dtype] == 64:
+        return as_dtype(a, "uint64", dtype)
+    size = 1 << BITS[dtype]
+    if dtype.startswith("u"):
+        return F.pmod(a, F.lit(size)).cast(SPARK_TYPES[dtype])
+    return (F.pmod(a + size // 2, F.lit(size)) - size // 2).cast(SPARK_TYPES[dtype])
+
+
+def product(a: Column, b: Column, dtype: str) -> Column:
+    """a * b, wrapped. Of wide factors, a goes in two halves, so that no step exceeds its type."""
+    if BITS[dtype] <= 16 or dtype == "int32":
+        return wrapped(widened(a, dtype) * widened(b, dtype), dtype)
+    big = lambda x: x.cast("decimal(38,0)")
+    whole, half = F.lit(str(1 << BITS[dtype])).cast("decimal(38,0)"), F.lit(str(1 << 32)).cast("decimal(38,0)")
+    x, y = F.pmod(big(a), whole), F.pmod(big(b), whole)
+    low = F.pmod(x, half)
+    high = F.floor((x - low) / half).cast("decimal(38,0)")
+    # Both halves stay below 2 ** 97.
+    upper = F.pmod((high.cast("decimal(11,0)") * y.cast("decimal(21,0)")).cast("decimal(38,0)"), whole)
+    total = (F.pmod(upper, half) * half + low.cast("decimal(11,0)") * y.cast("decimal(21,0)")).cast("decimal(38,0)")
+    return as_dtype(F.pmod(total, whole), "uint64", dtype)
+
+
+def floor_parts(a: Column, b: Column, dtype: str) -> tuple[Column, Column]:
+    """(a // b, a % b) of integers, rounding towards minus infinity, wrapped; both are 0 where b is 0."""
+    a, b = widened(a, dtype), F.nullif(widened(b, dtype), F.lit(0))
+    rest = (a % b + b) % b
+    exact = F.floor((a - rest) / b) if BITS[dtype] == 64 else F.call_function("div", a - rest, b)
+    kind = "decimal(38,0)" if BITS[dtype] == 64 else "bigint"
+    return tuple(wrapped(F.coalesce(x.cast(kind), F.lit(0).cast(kind)), dtype) for x in (exact, rest))  # type: ignore[return-value]
+
+
+def whole_power(a: Column, b: Column, dtype: str) -> Column:
+    """a ** b of integers, wrapped, by squaring; a negative exponent fails the query."""
+    kind = SPARK_TYPES[dtype]
+    bits = F.sequence(F.lit(0), F.lit(BITS[dtype] - 1))
+    start = F.struct(F.lit(1).cast(kind).alias("r"), a.cast(kind).alias("s"), b.cast("decimal(38,0)").alias("e"))
+
+    def step(state: Column, _: Column) -> Column:
+        odd = F.pmod(state["e"], F.lit(2)) == 1
+        rest = F.floor(state["e"] / 2).cast("decimal(38,0)")
+        return F.struct(
+            F.when(odd, product(state["r"], state["s"], dtype)).otherwise(state["r"]).alias("r"),
+            F.when(rest > 0, product(state["s"], state["s"], dtype)).otherwise(state["s"]).alias("s"), rest.alias("e"),
+        )
+
+    found = F.aggregate(bits, start, step, lambda state: state["r"])
+    return F.when(b < 0, F.raise_error(F.lit("integers to negative integer powers")).cast(kind)).otherwise(found)
+
+
 def present(a: Column) -> Column:
     """The value, or null where it is NaN: statistics skip NaN."""
     return F.nanvl(a.cast("double"), F.lit(None).cast("double"))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], others: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """left joined to right by columns that both have, which come once; in `keys`, null meets null."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys}).withColumnsRenamed({c: f"_same_{c}" for c in others})
+    tests = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys] + [F.col(c) == F.col(f"_same_{c}") for c in others]
+    condition = tests[0]
+    for test in tests[1:]:
+        condition = condition & test
+    return left.join(renamed, condition, how).drop(*(f"_same_{c}" for c in (*keys, *others)))

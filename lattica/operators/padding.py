@@ -24,17 +24,20 @@ def sources(n: int, left: int, right: int, mode: str) -> np.ndarray:
 
 
 def targets(position: Column, n: int, left: int, right: int, mode: str) -> Column:
-    """The array of target positions of a source position.
-
-    Only positions that the padding copies get more than one target, so the
-    branches are as many as the padding is wide, not as the axis is long.
-    """
-    copies: dict[int, list[int]] = {}
-    for target, source in enumerate(sources(n, left, right, mode)):
-        if target != source + left:
-            copies.setdefault(int(source), []).append(target)
-    out = F.array(position + left)
-    for source, also in copies.items():
-        extra = F.array(*[F.lit(t) for t in also])
-        out = F.when(position == source, F.concat(F.array(position + left), extra)).otherwise(out)
-    return out
+    """The array of target positions of a source position: arithmetic sequences, as few at any width of the padding."""
+    if mode not in MODES:
+        raise ValueError(f"no pad mode {mode}; there are {MODES}")
+    end = left + n + right - 1
+
+    def images(first: Column, period: int) -> Column:
+        """The targets whose place before padding is `first` modulo `period`."""
+        start = F.pmod(first + left, F.lit(period)).cast("int")
+        return F.when(start <= end, F.sequence(start, F.lit(end), F.lit(period))).otherwise(F.array().cast("array<int>"))
+
+    if mode == "edge" or n == 1:
+        low = F.when(position == 0, F.lit(0)).otherwise(position + left)
+        high = F.when(position == n - 1, F.lit(end)).otherwise(position + left)
+        return F.sequence(low.cast("int"), high.cast("int"))
+    if mode == "symmetric":
+        return F.concat(images(position, 2 * n), images(-1 - position, 2 * n))
+    return F.array_distinct(F.concat(images(position, 2 * n - 2), images(-position, 2 * n - 2)))

@@ -55,7 +55,7 @@ class Operator:
             on = [*table.keys, *table.kept]
             # Without keys there is one row per kept coordinate.
             side = side if table.keys else F.broadcast(side)
-            df = df.join(side, on) if on else df.crossJoin(side)
+            df = N.matched(df, side, table.keys, table.kept) if on else df.crossJoin(side)
         value = self.column(F.col(V), names.__getitem__, tensor)
         out = replace(tensor, df=df.select(*tensor.keys, *tensor.dims, value.alias(V)), dtype=self.dtype(tensor))
         if self.output in members and self.output != self.input and members[self.output].known not in (None, out.known):

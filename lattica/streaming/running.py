@@ -22,14 +22,14 @@ def partials(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFram
 def merged(states: DataFrame, by: Sequence[str]) -> DataFrame:
     """States merged by the parallel variance rule, as sums around the common mean; then n, mean, var, std."""
     total = states.groupBy(*by).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
-    joined = states.join(total, list(by)) if by else states.crossJoin(F.broadcast(total))
+    joined = N.matched(states, total, by) if by else states.crossJoin(total)
     m2 = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean")))
     out = joined.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), (m2 / F.first("_n")).alias("var"))
     return out.withColumn("std", F.sqrt("var"))
 
 
 def running_statistics(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
-    """For each row, n, mean, var and std of its group's values up to and including it, in the given order.
+    """For each row, also of a null group, n, mean, var and std of its group's values up to and including it, in the given order.
 
     The first order column must be numeric or a time. Groups are cut into
     RANGES ranges of it; running sums within a range start from the totals of
@@ -39,7 +39,7 @@ def running_statistics(df: DataFrame, by: Sequence[str], order: Sequence[str], v
     v = N.present(F.col(value))
     center = df.groupBy(*by).agg(F.avg(v).alias("_center"), F.min(order[0]).alias("_first"), F.max(order[0]).alias("_last"))
     number = lambda c: F.unix_micros(c.cast("timestamp")).cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else c.cast("double")
-    df = df.join(F.broadcast(center), list(by)) if by else df.crossJoin(F.broadcast(center))
+    df = N.matched(df, center, by) if by else df.crossJoin(center)
     width = number(F.col("_last")) - number(F.col("_first"))
     place = F.when(width > 0, F.floor((number(F.col(order[0])) - number(F.col("_first"))) / width * RANGES)).otherwise(0)
     d = v - F.col("_center")
@@ -49,7 +49,7 @@ def running_statistics(df: DataFrame, by: Sequence[str], order: Sequence[str], v
     totals = df.groupBy(*by, "_range").agg(*[s.alias(f"_t{i}") for i, s in enumerate(sums)])
     totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(3)])
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(totals), [*by, "_range"])
+    out = N.matched(df, totals, [*by, "_range"])
     n, s, q = (F.col(f"_b{i}") + F.coalesce(x.over(inside), F.lit(0)) for i, x in enumerate(sums))
     out = out.withColumn("n", n.cast("long")).withColumn("_s", s).withColumn("_q", q)
     mean = F.col("_s") / F.col("n")
