@@ -43,6 +43,8 @@ BATCH = 24
 #: Classes in a chunk of a bucket; classes and shingles in a chunk of a component.
 CHUNK, EXACT_CHUNK, EXACT_SHINGLES = 4096, 3072, 1 << 20
 PAIRS_AT_ONCE = 1 << 16
+#: Survivors, of about 100 bytes each, that are broadcast to the texts; beyond that texts and survivors are shuffled.
+MOST_BROADCAST = 250_000
 SEED = 11
 
 
@@ -370,18 +372,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     texts = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # By row, or by id and a hash of the text: many rows may have one id or none.
     met = texts["_row"] == wanted["node"] if row else texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
-    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text")
+    wanted = F.broadcast(wanted) if alike.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
+    texts = texts.join(wanted, met).select("node", "label", "_chunks", "_each", "_key", "text")
+    texts = texts if row else texts.distinct()  # rows that repeat an id and its text
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # rows that repeat an id and its text meet here
         for batch in batches:
             raw, offsets = utf8(batch.column(5))
-            node = batch.column(0).to_pylist()
             keep, sets = [], []
             for lo, hi in chunks(offsets):
                 for i, s in enumerate(shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width), lo):
-                    if node[i] not in seen and set_key(s) == batch.column(4)[i].as_py():  # else another text with this hash
-                        seen.add(node[i])
+                    if set_key(s) == batch.column(4)[i].as_py():  # else another text with this hash
                         keep.append(i)
                         sets.append(s.tobytes())
             taken = batch.take(pa.array(keep, pa.int64()))

@@ -774,7 +774,9 @@ def test_row_wise_operators_on_awkward_tables(spark, edge, empty, labels):
     assert toxicity.offending_sentences(edge, toxicity.NoisyOr(np.zeros(1 << toxicity.BITS), 6.0)).count() > 5
 
 
-def test_near_copies_without_ids(spark):
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_near_copies_without_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
     base = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)] + [(None, " ".join(base)), (7, " ".join(base))]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
