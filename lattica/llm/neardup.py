@@ -43,8 +43,6 @@ BATCH = 24
 #: Classes in a chunk of a bucket; classes and shingles in a chunk of a component.
 CHUNK, EXACT_CHUNK, EXACT_SHINGLES = 4096, 3072, 1 << 20
 PAIRS_AT_ONCE = 1 << 16
-#: Survivors, of about 100 bytes each, that are broadcast to the texts; beyond that texts and survivors are shuffled.
-MOST_BROADCAST = 250_000
 SEED = 11
 
 
@@ -359,7 +357,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     signed = cut(rows.select("_row", "doc_id", "n_shingles", "_key", "_sig", "_text").join(classes.select("node"), F.col("_row") == F.col("node"), "left_semi").withColumnRenamed("_row", "node"))
 
     buckets = cut(banded(signed, bands, BAND_ROWS))
-    shared = cut(buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.lit(CHUNK).alias("_each")))
+    # Not written: read back, its size would let the planner broadcast it for some inputs, and the plan should be one at every size.
+    shared = buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.lit(CHUNK).alias("_each"))
     candidates = buckets.join(shared, "_bucket").join(signed.select("node", "_sig"), "node")
     likely = connected(candidates, "_bucket", not shared.where("_chunks > 1").isEmpty(), lambda f, g, ok: close_pairs(f, g, ok, BAND_ROWS, tests))
 
@@ -372,8 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     texts = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # By row, or by id and a hash of the text: many rows may have one id or none.
     met = texts["_row"] == wanted["node"] if row else texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
-    wanted = F.broadcast(wanted) if alike.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
-    texts = texts.join(wanted, met).select("node", "label", "_chunks", "_each", "_key", "text")
+    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text")
     texts = texts if row else texts.distinct()  # rows that repeat an id and its text
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
