@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest, keyed_join
-from .store import cut, fresh
+from .store import cut
 from .text import LOWER, chunks, mix, span_hashes, utf8, words
 from .worker import task
 
@@ -109,8 +109,8 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str, row: str | None = None) -> DataFrame:
-    """_row, doc_id, n_shingles, _key, _sig, _text (a hash of the text) of every row; _sig is null without shingles."""
+def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str) -> DataFrame:
+    """_row, doc_id, n_shingles, _key, _sig, _text, _check (hashes of the text) of every row; _sig is null without shingles."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = hash_family(hashes)
@@ -122,12 +122,11 @@ def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str,
                     n.append(len(s))
                     keys.append(set_key(s))
                     sigs.append(signature(s, family).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(3)], ["_row", "doc_id", "n_shingles", "_key", "_sig", "_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[3:]], ["_row", "doc_id", "n_shingles", "_key", "_sig", "_text", "_check"])
 
-    key = F.col(row) if row else F.monotonically_increasing_id()
     words = F.col(text).cast("string")
-    columns = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), words.alias("text"), F.xxhash64(words).alias("_text"))
-    return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _text long")
+    columns = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), words.alias("text"), F.xxhash64(words).alias("_text"), F.hash(words).alias("_check"))
+    return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _text long, _check int")
 
 
 def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -335,8 +334,8 @@ def connected(rows: DataFrame, group: str, several: bool, pairs: Callable) -> Da
     return components(found.select("a", "b").union(met.select("a", "b")).union(rest.select("a", "b")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; and _row, where `row` names a column of distinct integers.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; where `hashed`, _text and _check too, xxhash64 and hash of its text.
 
     Documents with 100 * intersection >= percent * union of their sets of
     distinct `width`-word shingles are linked; component_id is the smallest
@@ -350,8 +349,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     threshold = percent / 100
     bands = band_count(threshold)
     tests = least_matches(threshold, bands * BAND_ROWS)
-    rows = cut(described(docs, width, bands * BAND_ROWS, text, doc_id, row))
-    slim = rows.select("_row", "doc_id", "n_shingles", "_key")
+    rows = cut(described(docs, width, bands * BAND_ROWS, text, doc_id))
+    carried = ["_text", "_check"] if hashed else []
+    slim = rows.select("_row", "doc_id", "n_shingles", "_key", *carried)
     # A class's rows are counted in part before they meet, so copies cost nothing.
     classes = cut(slim.where("n_shingles > 0").groupBy("_key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
     signed = cut(rows.select("_row", "doc_id", "n_shingles", "_key", "_sig", "_text").join(classes.select("node"), F.col("_row") == F.col("node"), "left_semi").withColumnRenamed("_row", "node"))
@@ -367,12 +367,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     parts = F.greatest(F.ceil(F.count("*") / EXACT_CHUNK), F.ceil(F.sum("n_shingles") / EXACT_SHINGLES)).cast("int")
     sizes = cut(alike.groupBy("label").agg(parts.alias("_chunks"), F.ceil(F.count("*") / parts).cast("int").alias("_each")))
     wanted = alike.join(sizes, "label").select("node", "label", "_chunks", "_each", "_key", F.col("doc_id").alias("_id"), F.col("_text").alias("_wanted"))
-    key = F.col(row) if row else F.lit(None).cast("long")
-    texts = docs.select(key.alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # By row, or by id and a hash of the text: many rows may have one id or none.
-    met = texts["_row"] == wanted["node"] if row else texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
-    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text")
-    texts = texts if row else texts.distinct()  # rows that repeat an id and its text
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # By id and a hash of the text: many rows may have one id or none.
+    met = texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
+    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text").distinct()  # rows that repeat an id and its text
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +390,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     labels = cut(classes.join(linked, "node", "left").select("_key", "n", F.coalesce("label", "node").alias("_label"), "least"))
     least = labels.groupBy("_label").agg(F.min("least").alias("_least"), F.count("*").alias("_n"))
     of_key = keyed_join(labels.select("_key", "_label", F.col("n").alias("_n")), least, "_label", "_n", labels.count()).select("_key", "_least", "_n")
-    carried = ["_row"] if row else []
     some = slim.where("n_shingles > 0")
     full = keyed_join(some, cut(of_key), "_key", "_n", rows.count()).select(*carried, "doc_id", "n_shingles", F.col("_least").alias("component_id"))
     empty = slim.where("n_shingles = 0").select(*carried, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -405,8 +402,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     Null, empty and blank texts all stay; of rows without an id, those whose
     component has no id stay; repeated rows stay together; an empty table stays empty.
     """
-    key = fresh(docs, "_near_row")
-    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()))
-    found = near_duplicates(rows, width, percent, text, doc_id, row=key)
-    gone = cut(found.where("not kept").select(F.col("_row").alias(key)))
-    return rows.join(gone, key, "left_anti").drop(key)
+    found = near_duplicates(docs, width, percent, text, doc_id, hashed=True)
+    # Equal ids with equal texts have one fate, so 96 bits of the text stand for it, and docs needs no numbered copy.
+    gone = cut(found.where("not kept").select("doc_id", "_text", "_check").distinct())
+    words = docs[text].cast("string")
+    met = docs[doc_id].eqNullSafe(gone["doc_id"]) & (F.xxhash64(words) == gone["_text"]) & (F.hash(words) == gone["_check"])
+    return docs.join(gone, met, "left_anti")

@@ -760,7 +760,7 @@ def test_very_long_texts_and_large_ids(spark, long_texts, labels):
 
 def test_row_wise_operators_on_awkward_tables(spark, edge, empty, labels):
     """keep_good, drop_near_duplicates, redact and mixed_documents keep columns, whatever their names, and null ids."""
-    odd = edge.withColumn("_row", F.lit(1)).withColumn("_mix_row", F.lit("m")).withColumn("_near_row", F.lit(2)).withColumn("_spans", F.lit(3)).withColumn("_mix_spans", F.lit(4))
+    odd = edge.withColumn("_row", F.lit(1)).withColumn("_mix_row", F.lit("m")).withColumn("_near_row", F.lit(2)).withColumn("_spans", F.lit(3)).withColumn("_mix_spans", F.lit(4)).withColumn("_text", F.lit(5)).withColumn("_check", F.lit(6))
     for operator in (lambda d: quality.keep_good(d, labels), neardup.drop_near_duplicates, pii.redact, mixing.mixed_documents):
         out = operator(odd)
         assert out.columns == odd.columns
