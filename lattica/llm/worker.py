@@ -13,6 +13,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _held: dict[Any, Any] = {}
 
@@ -38,6 +43,16 @@ def give_back() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches by BATCH_BYTES, or by a single longer row, where it sets no bound itself.
+
+    Spark's own bounds, 10,000 rows and 64 MB, let a batch of texts take several
+    hundred MB in a worker and its executor, as results are built beside it.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def task(function: Callable[[Iterator], Iterator], holds: bool = False) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow or mapInPandas that leaves its worker small; holds: it uses what hold() has kept."""
 

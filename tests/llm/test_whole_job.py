@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from tokenizers import Tokenizer
 
-from lattica.llm import matroska, neardup, quality, queries, token_counts
+from lattica.llm import matroska, neardup, quality, queries, token_counts, worker
 
 
 def test_near_duplicates_go_row_by_row(spark):
@@ -63,3 +63,24 @@ def test_every_cue_is_checked_whatever_their_number():
     real = len(movie.cues)
     movie.cues += [(-1, 1, 0)] * 1000
     assert real and f";cues={real};" in matroska.feature(movie, payload)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """The bound holds for a session without one, a session's own stays, and no row is lost."""
+    docs = spark.range(6000).selectExpr("repeat('abcdefgh ', 300) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    before = spark.conf.get(worker._BATCH, None)
+    try:
+        spark.conf.unset(worker._BATCH)
+        worker.bound_batches(spark)
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in found) == 6000 and max(r["size"] for r in found) < 2 * worker.BATCH_BYTES
+        spark.conf.set(worker._BATCH, "1000000")
+        worker.bound_batches(spark)
+        assert spark.conf.get(worker._BATCH) == "1000000"
+    finally:
+        spark.conf.set(worker._BATCH, before) if before else spark.conf.unset(worker._BATCH)
