@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of `documents`. run() writes each stage's result as
-Parquet in the cluster's shared folder and hands on what it reads back.
+Parquet in the cluster's shared folder and hands on what it reads back. The
+stages bound the batches that go to Python workers by bytes, in the session.
 """
 
 from __future__ import annotations
@@ -12,32 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import mixing, neardup, packing, pii, quality
 from lattica.llm.store import cut
+from lattica.llm.worker import bound_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from all labels but the held-out fold."""
+    bound_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), of=3, held=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    bound_batches(spark)
     return neardup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every span of personal data replaced by its kind."""
+    bound_batches(spark)
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once per pass over their source, with the words that it takes."""
+    bound_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of all documents with their places in sequences of 2048 ids."""
+    bound_batches(spark)
     return packing.pack(docs, VOCABULARY, capacity=2048, end=0)
 
 
