@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest, keyed_join
@@ -43,6 +43,9 @@ BATCH = 24
 #: Classes in a chunk of a bucket; classes and shingles in a chunk of a component.
 CHUNK, EXACT_CHUNK, EXACT_SHINGLES = 4096, 3072, 1 << 20
 PAIRS_AT_ONCE = 1 << 16
+#: 64-bit words of a bitmap that spares texts the way to an exact join: broadcast, 4 MB of content at most. It lets
+#: through what it must and, the fuller it gets, more; with far over 64 * WORDS hashes all texts take that way.
+WORDS = 1 << 18
 SEED = 11
 
 
@@ -129,8 +132,8 @@ def described(docs: DataFrame, width: int, hashes: int, text: str, doc_id: str)
     return columns.mapInArrow(task(turn), f"_row long, doc_id {columns.schema['doc_id'].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _text long, _check int")
 
 
-def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """_band (index), _bucket, node, _sig: one row per class and band."""
+def banded(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+    """node, _keys (a bucket key for each band) of rows with node and _sig."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +145,28 @@ def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                 key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(node), bands)).copy()
                 for i in range(rows):
                     key = mix(key + sig[:, i : bands * rows : rows].astype(np.uint64) * np.uint64(2 * i + 3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(node))), pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], ["_band", "_bucket", "node"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["node", "_keys"])
 
-    return classes.select("node", "_sig").mapInArrow(task(turn), "_band int, _bucket long, node long")
+    return signed.select("node", "_sig").mapInArrow(task(turn), "node long, _keys array<long>")
+
+
+def marks(hashes: DataFrame, column: str) -> DataFrame:
+    """_word, _bits: a bitmap of 64 * WORDS places, with the place of each hash set; at most WORDS rows at any size."""
+    return cut(hashes.select(_word(F.col(column)).alias("_word"), _bit(F.col(column)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def marked(rows: DataFrame, hashed: Column, bits: DataFrame, how: str) -> DataFrame:
+    """The rows whose hash's place is set in `bits` (how: left_semi), or the others (left_anti), without moving any."""
+    return rows.join(F.broadcast(bits), (_word(hashed) == bits["_word"]) & (_bit(hashed).bitwiseAND(bits["_bits"]) != 0), how)
+
+
+def _word(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(WORDS))
+
+
+def _bit(hashed: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed, 32), F.lit(64)).cast("int"))
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -354,12 +376,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     slim = rows.select("_row", "doc_id", "n_shingles", "_key", *carried)
     # A class's rows are counted in part before they meet, so copies cost nothing.
     classes = cut(slim.where("n_shingles > 0").groupBy("_key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    signed = cut(rows.select("_row", "doc_id", "n_shingles", "_key", "_sig", "_text").join(classes.select("node"), F.col("_row") == F.col("node"), "left_semi").withColumnRenamed("_row", "node"))
-
-    buckets = cut(banded(signed, bands, BAND_ROWS))
-    # Not written: read back, its size would let the planner broadcast it for some inputs, and the plan should be one at every size.
-    shared = buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.lit(CHUNK).alias("_each"))
-    candidates = buckets.join(shared, "_bucket").join(signed.select("node", "_sig"), "node")
+    signed = rows.where("n_shingles > 0").withColumnRenamed("_row", "node")
+    # Bucket keys meet their classes, being shorter than signatures; those go to candidates alone.
+    keyed = banded(signed, bands, BAND_ROWS).join(classes.select("node"), "node", "left_semi")
+    buckets = cut(keyed.select("node", F.posexplode("_keys").alias("_band", "_bucket")))
+    shared = cut(buckets.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("_bucket", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.lit(CHUNK).alias("_each")))
+    # Merged, not broadcast where it is small: the plan is one at every size.
+    candidates = buckets.join(shared.hint("merge"), "_bucket").join(signed.select("node", "_sig"), "node")
     likely = connected(candidates, "_bucket", not shared.where("_chunks > 1").isEmpty(), lambda f, g, ok: close_pairs(f, g, ok, BAND_ROWS, tests))
 
     # Exact verification: full sets, from the texts of the survivors' representatives.
@@ -370,6 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # By id and a hash of the text: many rows may have one id or none.
     met = texts["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(texts["text"]) == wanted["_wanted"])
+    texts = marked(texts, F.xxhash64(texts["text"]), marks(alike, "_text"), "left_semi")
     texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "label", "_chunks", "_each", "_key", "text").distinct()  # rows that repeat an id and its text
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,4 +431,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     gone = cut(found.where("not kept").select("doc_id", "_text", "_check").distinct())
     words = docs[text].cast("string")
     met = docs[doc_id].eqNullSafe(gone["doc_id"]) & (F.xxhash64(words) == gone["_text"]) & (F.hash(words) == gone["_check"])
-    return docs.join(gone, met, "left_anti")
+    # Most texts are none of those, which the bitmap tells where they are.
+    bits = marks(gone, "_text")
+    some, rest = (marked(docs, F.xxhash64(words), bits, how) for how in ("left_semi", "left_anti"))
+    return rest.union(some.join(gone, met, "left_anti"))
